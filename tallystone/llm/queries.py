@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallystone.llm import decontaminate, linededup
+from tallystone.llm import decontaminate, linededup, secrets
 from tallystone.session import table
 
 
@@ -23,6 +23,16 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.secret_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id",
+        *(secrets.count_kind(F.col("base"), i).alias(f"n_{kind}") for i, kind in enumerate(secrets.KINDS[:3])),
+        F.sha2(secrets.spans_text(F.col("base")), 256).alias("base_sha256"),
+        secrets.spans_text(F.col("spans")).alias("spans"),
+    )
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = linededup.with_kept_text(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select(
@@ -32,5 +42,6 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
+    "op3_secret_scan": op3_secret_scan,
     "op7_line_dedup": op7_line_dedup,
 }
