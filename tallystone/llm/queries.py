@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallystone.llm import decontaminate, linededup, secrets, simhash
+from tallystone.llm import bpe, decontaminate, linededup, secrets, simhash
 from tallystone.session import table
 
 
@@ -38,6 +39,16 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_token_count(spark: SparkSession, sf_dir: str, limit: int = 1024) -> DataFrame:
+    found = bpe.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return found.withColumn("over_limit", F.col("n_tokens") > limit)
+
+
+def op6_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bpe.encode_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), digests=True)
+    return found.select("doc_id", "n_tokens", F.col("ids").alias("ids_sha256"), F.col("decoded").alias("decoded_sha256"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = linededup.with_kept_text(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select(
@@ -49,5 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_simhash": op2_simhash,
     "op3_secret_scan": op3_secret_scan,
+    "op4_token_count": op4_token_count,
+    "op6_bpe_roundtrip": op6_bpe_roundtrip,
     "op7_line_dedup": op7_line_dedup,
 }
