@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallystone.llm import bpe, decontaminate, linededup, secrets, simhash
+from tallystone.llm import bpe, decontaminate, linededup, pii, secrets, simhash
 from tallystone.session import table
 
 
@@ -56,6 +56,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_simhash": op2_simhash,
@@ -63,4 +67,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_count": op4_token_count,
     "op6_bpe_roundtrip": op6_bpe_roundtrip,
     "op7_line_dedup": op7_line_dedup,
+    "op10_personal_data": op10_personal_data,
 }
