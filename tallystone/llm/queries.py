@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallystone.llm import bpe, decontaminate, linededup, pii, secrets, simhash
+from tallystone.llm import bpe, decontaminate, langid, linededup, pii, secrets, simhash
 from tallystone.session import table
 
 
@@ -56,6 +56,12 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(langid.fold(F.col("doc_id"), 3) == 1, F.lit(False)))
+    model = langid.fit(docs.where(~F.col("held_out")).select("doc_id", "text", "lang"))
+    return langid.predict(docs, model, "doc_id", "held_out")
+
+
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(table(spark, sf_dir, "documents"))
 
@@ -67,5 +73,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_count": op4_token_count,
     "op6_bpe_roundtrip": op6_bpe_roundtrip,
     "op7_line_dedup": op7_line_dedup,
+    "op8_language": op8_language,
     "op10_personal_data": op10_personal_data,
 }
