@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallystone.llm import bpe, decontaminate, langid, linededup, pii, secrets, simhash
+from tallystone.llm import bpe, decontaminate, langid, linededup, pii, secrets, simhash, toxicity
 from tallystone.session import table
 
 
@@ -62,6 +62,16 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model, "doc_id", "held_out")
 
 
+def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Model:
+    labels = table(spark, sf_dir, "labels").where(langid.fold(F.col("doc_id"), 5) != 0).select("doc_id", "toxic")
+    return toxicity.fit(docs.select("doc_id", "text"), labels)
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(langid.fold(F.col("doc_id"), 5) == 0, F.lit(False)))
+    return toxicity.score(docs, toxicity_model(spark, docs, sf_dir), "doc_id", "held_out")
+
+
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(table(spark, sf_dir, "documents"))
 
@@ -74,5 +84,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_bpe_roundtrip": op6_bpe_roundtrip,
     "op7_line_dedup": op7_line_dedup,
     "op8_language": op8_language,
+    "op9_toxicity": op9_toxicity,
     "op10_personal_data": op10_personal_data,
 }
