@@ -10,9 +10,10 @@ Parts are searched in blocks: a part of many vectors (one vector may make up a t
 is split, every block of its queries meets every block of its vectors, and the best of each pair are merged per query.
 The number of parts follows the number of vectors, up to what the sample can tell apart.
 
-Edge cases: vectors that are null, zero or hold null or non-finite components take no part, neither do null ids; fewer
-candidates than ``k`` give all of them; equal cosines are ordered by vec_id; repeated rows are repeated candidates; an
-empty table gives no rows; other columns are ignored.
+Edge cases: vectors that are null, zero or hold null or non-finite components take no part, neither do null ids nor
+vectors of another length than most; fewer candidates than ``k`` give all of them; equal cosines are ordered by vec_id;
+repeated rows are repeated candidates, but rows with the query's own id are not its candidates; a query row that is
+repeated is answered once; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,12 +22,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
+from tallystone.llm.checkpoints import cut
 from tallystone.session import share_package
 
 SAMPLE = 8_192
@@ -37,7 +38,7 @@ PART_ROWS = 768
 MAX_PARTS = 128
 COVER = 0.98
 PROBES = 4
-BLOCK_ROWS = 4_096
+BLOCK_ROWS = 1_024
 BLOCK_QUERIES = 1_024
 
 
@@ -145,3 +146,111 @@ def probed_parts(probabilities: np.ndarray, cover: float = COVER, probes: int =
     reached = np.cumsum(np.take_along_axis(probabilities, order, axis=1), axis=1)
     n = np.maximum(probes, 1 + (reached < cover).sum(axis=1))
     return [row[: min(m, len(row))] for row, m in zip(order, n, strict=True)]
+
+
+def usable(vectors: DataFrame) -> DataFrame:
+    """vec_id and embedding of the rows that take part."""
+    x = F.col("embedding")
+    odd = lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
+    rows = vectors.select("vec_id", x).where(F.col("vec_id").isNotNull() & ~F.exists(x, odd) & F.exists(x, lambda v: v != 0))
+    lengths = rows.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
+    return rows.where(F.size("embedding") == (lengths[0]["n"] if lengths else 0))
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    values = column.flatten().to_numpy(zero_copy_only=False)
+    return values.reshape(len(column), -1).astype(np.float64) if len(column) else np.zeros((0, 0))
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    # The largest component first, so that neither very large nor very small vectors leave the range.
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def fit(vectors: DataFrame, sample: int = SAMPLE, part_rows: int = PART_ROWS, max_parts: int = MAX_PARTS) -> Router | None:
+    """The router fitted on about ``sample`` vectors; None if one part is enough."""
+    total = vectors.count()
+    parts = 1
+    while parts < max_parts and parts * part_rows < total:
+        parts *= 2
+    if parts == 1:
+        return None
+    grain = 1 << 30
+    drawn = vectors.where(F.pmod(F.xxhash64(F.lit("fit"), "vec_id"), F.lit(grain)) < int(min(1.0, sample / total) * grain))
+    x = np.unique(_unit(_matrix(drawn.select("embedding").toArrow().column(0).combine_chunks())), axis=0)  # copies count once
+    while parts > 1 and parts * 16 > len(x):
+        parts //= 2
+    return fit_router(x, parts) if parts > 1 else None
+
+
+def _routed_batches(batches: Iterator[pa.RecordBatch], shared, cover: float | None, probes: int) -> Iterator[pa.RecordBatch]:
+    router: Router | None = shared.value
+    for batch in batches:
+        if router is None or not batch.num_rows:
+            found = [[0]] * batch.num_rows
+        else:
+            p = router.probabilities(_unit(_matrix(batch.column("embedding"))))
+            found = [[int(i)] for i in p.argmax(axis=1)] if cover is None else [x.tolist() for x in probed_parts(p, cover, probes)]
+        yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("embedding"), pa.array(found, pa.list_(pa.int32()))], names=["vec_id", "embedding", "parts"])
+
+
+def routed(vectors: DataFrame, router: Router | None, cover: float | None = None, probes: int = PROBES) -> DataFrame:
+    """vec_id, embedding and part: the most probable part or, with ``cover``, a row for each part to probe."""
+    spark = vectors.sparkSession
+    share_package(spark)
+    shared = spark.sparkContext.broadcast(router)  # two weight matrices of at most HIDDEN x MAX_PARTS
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in vectors.schema.fields)
+    found = vectors.mapInArrow(lambda b: _routed_batches(b, shared, cover, probes), f"{kinds}, parts array<int>")
+    return found.select("vec_id", "embedding", F.explode("parts").alias("part"))
+
+
+def best_of_block(queries: pa.Table, vectors: pa.Table, k: int) -> pa.Table:
+    """The k best vectors of a block for each query of a block: query_id, query_key, vec_id, score."""
+    ids = vectors.column("vec_id").to_numpy()
+    q_ids = queries.column("vec_id").to_numpy()
+    out: list[list] = [[], [], [], []]
+    if len(ids) and len(q_ids):
+        x, q = (_matrix(t.column("embedding").combine_chunks()) for t in (vectors, queries))
+        near = _unit(q) @ _unit(x).T
+        near[q_ids[:, None] == ids[None, :]] = -np.inf
+        norms = np.sqrt((x * x).sum(axis=1))
+        m = min(k, len(ids))
+        least = -np.partition(-near, m - 1, axis=1)[:, m - 1]
+        for i, key in enumerate(queries.column("query_key").to_numpy()):
+            # The product's last digits depend on a vector's place in the block: what is near the k-th is measured again.
+            at = np.flatnonzero((near[i] >= least[i] - 1e-9) & (near[i] > -np.inf))
+            score = (x[at] * q[i]).sum(axis=1) / (norms[at] * np.sqrt((q[i] * q[i]).sum()))
+            best = np.lexsort((ids[at], -score))[:k]
+            out[0] += [q_ids[i]] * len(best)
+            out[1] += [key] * len(best)
+            out[2] += ids[at[best]].tolist()
+            out[3] += score[best].tolist()
+    names = ["query_id", "query_key", "vec_id", "score"]
+    return pa.table([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], names=names)
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, router: Router | None = None, cover: float = COVER, probes: int = PROBES) -> DataFrame:
+    """query_id, rank (from 1), vec_id and score (cosine) of the ``k`` nearest vectors found for each query.
+
+    Both tables hold vec_id and embedding as ``usable`` gives them; ``router`` is what ``fit`` gave for ``vectors``.
+    """
+    as_long = lambda df: df.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    index = cut(routed(as_long(vectors), router))
+    asked = cut(routed(as_long(queries).dropDuplicates(), router, cover, probes).withColumn("query_key", F.xxhash64("embedding")))
+    # One row a part, MAX_PARTS at most.
+    blocks = index.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("v_blocks"))
+    asks = asked.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / BLOCK_QUERIES).cast("int").alias("q_blocks"))
+    sizes = F.broadcast(blocks.join(asks, "part"))
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64(F.lit("block"), "vec_id"), F.col(n)).cast("int")
+    v = index.join(sizes, "part").select("part", own("v_blocks").alias("v"), upto("q_blocks").alias("q"), "vec_id", "embedding")
+    q = asked.join(sizes, "part").select("part", upto("v_blocks").alias("v"), own("q_blocks").alias("q"), "vec_id", "embedding", "query_key")
+    share_package(vectors.sparkSession)
+    found = (
+        q.groupBy("part", "v", "q")
+        .cogroup(v.groupBy("part", "v", "q"))
+        .applyInArrow(lambda a, b: best_of_block(a, b, k), "query_id long, query_key long, vec_id long, score double")
+    )
+    order = W.partitionBy("query_id", "query_key").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -253,6 +253,9 @@ def contamination(docs: DataFrame, items: DataFrame, gram: int = GRAM, window: i
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
-    """The documents that are not contaminated, with all their columns. Rows are matched by doc_id and text."""
-    bad = contamination(docs.select("doc_id", "text"), items, gram, window).where("contaminated").select("doc_id").distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
+    """The documents that are not contaminated, with all their columns. Rows are matched by doc_id and the text's hash."""
+    version = F.xxhash64("text")
+    keyed = docs.select(F.struct("doc_id", version.alias("version")).alias("doc_id"), "text")
+    bad = contamination(keyed, items, gram, window).where("contaminated").select("doc_id.*").distinct()
+    bad = bad.select(F.col("doc_id").alias("_bad_id"), F.col("version").alias("_bad_version"))
+    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_bad_id")) & (F.xxhash64(docs["text"]) == F.col("_bad_version")), "left_anti")

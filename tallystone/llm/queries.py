@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallystone.llm import bpe, decontaminate, langid, linededup, pii, secrets, simhash, toxicity
+from tallystone.llm import ann, bpe, decontaminate, langid, linededup, pii, secrets, simhash, toxicity
 from tallystone.session import table
 
 
@@ -44,6 +44,11 @@ def op4_token_count(spark: SparkSession, sf_dir: str, limit: int = 1024) -> Data
     return found.withColumn("over_limit", F.col("n_tokens") > limit)
 
 
+def op5_nearest(spark: SparkSession, sf_dir: str, every: int = 50, k: int = 5) -> DataFrame:
+    vectors = ann.usable(table(spark, sf_dir, "embeddings"))
+    return ann.nearest(vectors, vectors.where(F.col("vec_id") % every == 0), k, ann.fit(vectors))
+
+
 def op6_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = bpe.encode_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), digests=True)
     return found.select("doc_id", "n_tokens", F.col("ids").alias("ids_sha256"), F.col("decoded").alias("decoded_sha256"))
@@ -81,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op3_secret_scan": op3_secret_scan,
     "op4_token_count": op4_token_count,
+    "op5_nearest": op5_nearest,
     "op6_bpe_roundtrip": op6_bpe_roundtrip,
     "op7_line_dedup": op7_line_dedup,
     "op8_language": op8_language,
