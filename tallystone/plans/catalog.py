@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallystone.plans import fusion
+from tallystone.plans import chains, entities, fusion, relational, telemetry, temporal
 
-_FAMILIES = (fusion,)
+_FAMILIES = (fusion, relational, chains, telemetry, entities, temporal)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for m in _FAMILIES for k, v in m.QUERIES.items()}
 ORACLES: dict[str, str] = {k: v for m in _FAMILIES for k, v in m.ORACLES.items()}
