@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallystone.plans import chains, claims, entities, fusion, placement, relational, rules, telemetry, temporal
+from tallystone.plans import chains, claims, entities, fusion, placement, relational, rules, stateful, telemetry, temporal
 
-_FAMILIES = (fusion, relational, chains, telemetry, entities, temporal, claims, rules, placement)
+_FAMILIES = (fusion, relational, chains, telemetry, entities, temporal, claims, rules, placement, stateful)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for m in _FAMILIES for k, v in m.QUERIES.items()}
 ORACLES: dict[str, str] = {k: v for m in _FAMILIES for k, v in m.ORACLES.items()}
