@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallystone.llm.columns import numbered, restored
+
 MIN_CHARS = 20
 MIN_DOCS = 3
 SALTS = 32
@@ -94,5 +96,6 @@ def with_kept_text(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int =
 
 def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """``docs`` with the remaining lines as text; a text that loses nothing stays as it is, null included."""
-    done = with_kept_text(docs, min_chars, min_docs)
-    return done.withColumn("text", F.when(F.col("_dropped") > 0, F.col("_kept")).otherwise(F.col("text"))).select(*docs.columns)
+    done = with_kept_text(numbered(docs, "doc_id", "text"), min_chars, min_docs)
+    done = done.withColumn("text", F.when(F.col("_dropped") > 0, F.col("_kept")).otherwise(F.col("text")))
+    return restored(done, docs, "doc_id", "text")

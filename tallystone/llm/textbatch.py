@@ -8,7 +8,6 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-MAX_U64 = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
