@@ -76,7 +76,7 @@ def ch_unanchored(spark, sf_dir):
 
 
 def ch_quorum(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("event_id % 5 < 3")
+    e = table(spark, sf_dir, "events")
     s = e.select(F.floor(F.col("event_id") / 10).alias("checkpoint"), (F.col("user_id") % 40).alias("signer"), (F.col("event_id") % 23 != 0).alias("valid"))
     return op.quorum(s, spark.range(36).select(F.col("id").alias("signer")), 5)
 
@@ -150,7 +150,7 @@ SELECT tenant, block, coalesce(lag(block_hash) OVER (PARTITION BY tenant ORDER B
 judged AS (SELECT tenant, block, CASE WHEN block <> coalesce(lag(block) OVER w, -1) + 1 THEN 'height_gap' WHEN previous <> coalesce(lag(block_hash) OVER w, repeat('0', 64)) THEN 'link_break' END AS fault FROM changed WINDOW w AS (PARTITION BY tenant ORDER BY block))
 FROM judged WHERE fault IS NOT NULL""",
     "ch_unanchored": f"WITH {_BLOCKS}{_PLAIN} SELECT tenant, block FROM linked WHERE tenant % 3 = 0",
-    "ch_quorum": """WITH s AS (SELECT event_id // 10 AS checkpoint, user_id % 40 AS signer, event_id % 23 <> 0 AND user_id % 40 < 36 AS good FROM events WHERE event_id % 5 < 3),
+    "ch_quorum": """WITH s AS (SELECT event_id // 10 AS checkpoint, user_id % 40 AS signer, event_id % 23 <> 0 AND user_id % 40 < 36 AS good FROM events),
 g AS (SELECT checkpoint, signer, count(*) AS n, bool_and(good) AS good FROM s GROUP BY ALL), c AS (SELECT checkpoint, count(*) FILTER (WHERE good) AS signers, count(*) FILTER (WHERE NOT good OR n > 1) AS rejected FROM g GROUP BY checkpoint)
 SELECT *, signers >= 5 AND rejected = 0 AS reached FROM c""",
     "ch_compare": """WITH b AS (SELECT event_id, CASE WHEN event_id % 500 = 2 THEN 'changed' ELSE event_type END AS p FROM events WHERE event_id % 1000 <> 1),

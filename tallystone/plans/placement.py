@@ -69,9 +69,10 @@ def pl_versions(spark, sf_dir):
 
 def _edges(spark, sf_dir):
     """Parts depend on a third and a fifth of their number; those that end in 99 close a ring."""
-    p = table(spark, sf_dir, "part").where("p_partkey < 400").select(F.col("p_partkey").alias("b"))
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("b"))
     down = p.where("b > 0").select(F.floor(F.col("b") / 3).alias("a"), "b").unionByName(p.where("b > 0").select(F.floor(F.col("b") / 5).alias("a"), "b"))
-    return down.unionByName(p.where("b % 100 = 99").select((F.col("b") * 3).alias("a"), "b").where("a < 400"))
+    ring = p.where("b % 100 = 99").select((F.col("b") * 3).alias("a"), "b")
+    return down.unionByName(ring.join(p.select(F.col("b").alias("a")), "a", "left_semi"))
 
 
 def pl_topo(spark, sf_dir):
@@ -129,8 +130,8 @@ def pl_vram(spark, sf_dir):
 
 
 _NODES = "n AS (SELECT s_suppkey AS node, s_suppkey % 17 AS dt, s_suppkey % 13 AS tu, 0.3e0 * greatest(0e0, 1e0 - (s_suppkey * 37 % 140) / 100e0) + 0.5e0 * ((s_suppkey * 91 % 1000) / 1000e0) - 0.2e0 * ((s_suppkey * 29 % 100) / 100e0) AS score, (s_suppkey * 13 % 100) / 100e0 AS trust, (s_suppkey * 7 % 10) / 10e0 AS headroom, ['t' || s_suppkey % 5, 't' || s_suppkey % 7] AS tags FROM supplier)"
-_EDGES = """p AS (SELECT p_partkey AS b FROM part WHERE p_partkey < 400), e AS (SELECT b // 3 AS a, b FROM p WHERE b > 0
-UNION ALL SELECT b // 5, b FROM p WHERE b > 0 UNION ALL SELECT b * 3, b FROM p WHERE b % 100 = 99 AND b * 3 < 400)"""
+_EDGES = """p AS (SELECT p_partkey AS b FROM part), e AS (SELECT b // 3 AS a, b FROM p WHERE b > 0
+UNION ALL SELECT b // 5, b FROM p WHERE b > 0 UNION ALL SELECT b * 3, b FROM p WHERE b % 100 = 99 AND b * 3 IN (FROM p))"""
 
 QUERIES = {f.__name__: f for f in (
     pl_best_node, pl_route, pl_division, pl_trust, pl_standing, pl_available, pl_least_loaded, pl_graph, pl_undeclared, pl_versions, pl_topo, pl_cycle, pl_rollup, pl_gates, pl_urgency, pl_due, pl_quarantine, pl_torque, pl_model, pl_treaties, pl_vram,

@@ -59,7 +59,7 @@ def tl_cube(spark, sf_dir):
 
 
 def tl_decision(spark, sf_dir):
-    e = op.with_family(table(spark, sf_dir, "events").where("event_id % 3 = 0 AND ts >= TIMESTAMP_NTZ '2024-01-05 00:00:00'"), FAMILIES, "event_type")
+    e = op.with_family(table(spark, sf_dir, "events").where("ts >= TIMESTAMP_NTZ '2024-01-05 00:00:00'"), FAMILIES, "event_type")
     return op.decision(e.groupBy("family").agg(F.count(F.lit(1)).alias("n")), 100)
 
 
@@ -158,7 +158,7 @@ ORACLES = {
     "tl_weekly": "SELECT strftime(ts, '%Y-%m-%d') AS day, user_id % 10 = 0 AS synthetic, count(*) AS n, count(*) FILTER (WHERE event_type = 'error') AS blocked, round(avg(CAST(event_type = 'error' AS INTEGER)), 6) AS rate FROM events GROUP BY ALL",
     "tl_rollup": "SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS quantity, CAST(grouping(l_returnflag, l_linestatus) AS BIGINT) AS level FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)",
     "tl_cube": "WITH p AS (SELECT p_type, CASE WHEN p_size < 10 THEN 'A' WHEN p_size < 30 THEN 'B' ELSE 'C' END AS grade FROM part) SELECT p_type, grade, count(*) AS n FROM p GROUP BY CUBE (p_type, grade)",
-    "tl_decision": f"""WITH f AS (SELECT {_FAMILY} AS family FROM events WHERE event_id % 3 = 0 AND ts >= TIMESTAMP '2024-01-05'),
+    "tl_decision": f"""WITH f AS (SELECT {_FAMILY} AS family FROM events WHERE ts >= TIMESTAMP '2024-01-05'),
 t AS (SELECT count(*) AS total, nullif(count(*) FILTER (WHERE family = 'retrieval'), 0) AS retrieval, nullif(count(*) FILTER (WHERE family = 'compression'), 0) AS compression FROM f)
 SELECT *, CASE WHEN coalesce(retrieval, 0) * 2 >= total THEN 'RETRIEVAL' WHEN coalesce(compression, 0) * 2 >= total THEN 'COMPRESSION' ELSE 'NO_DOMINANT_FAMILY' END AS verdict FROM t""",
     "tl_rolling": """SELECT count(*) AS n, round(count(*) / 86400e0, 6) AS rate, round(avg(value), 4) AS mean, round(quantile_cont(value, 0.5) FILTER (WHERE event_type <> 'error'), 2) AS p50,

@@ -45,7 +45,7 @@ def tm_backdated(spark, sf_dir):
 
 
 def tm_zones(spark, sf_dir):
-    z = table(spark, sf_dir, "events").where("event_id % 40 = 0").withColumn("zone", F.col("event_id") % 3)
+    z = table(spark, sf_dir, "events").withColumn("zone", F.when(F.col("user_id") % 4 == 0, F.col("event_id") % 3).otherwise(0))
     return op.zone_conflicts(z, "user_id", "zone")
 
 
@@ -107,7 +107,7 @@ ORACLES = {
     "tm_sequence": f"WITH {_ACTS} {_SEQUENCE}",
     "tm_future": "SELECT event_id FROM events WHERE ts > TIMESTAMP '2024-01-25'",
     "tm_backdated": "SELECT o_orderkey, CAST(epoch(min(l_shipdate)) - epoch(any_value(o_orderdate)) AS BIGINT) AS gap_s FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey HAVING epoch(min(l_shipdate)) - epoch(any_value(o_orderdate)) > 86400",
-    "tm_zones": "SELECT user_id, count(DISTINCT event_id % 3) AS zones FROM events WHERE event_id % 40 = 0 GROUP BY user_id HAVING count(DISTINCT event_id % 3) > 1",
+    "tm_zones": "SELECT user_id, count(DISTINCT event_id % 3) AS zones FROM events WHERE user_id % 4 = 0 GROUP BY user_id HAVING count(DISTINCT event_id % 3) > 1",
     "tm_anomalies": f"""WITH {_ACTS}, f AS (SELECT 0 AS rank, 'critical' AS severity, {_ID.format('impossible_sequence')} AS id FROM ({_SEQUENCE})
 UNION ALL SELECT 1, 'high', {_ID.format('future_dated')} FROM events WHERE ts > TIMESTAMP '2024-01-25' UNION ALL SELECT 3, 'low', {_ID.format('weekend')} FROM events WHERE isodow(ts) >= 6)
 SELECT rank, severity, count(*) AS n, min(id) AS first_id FROM f GROUP BY ALL""",
