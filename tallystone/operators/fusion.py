@@ -5,7 +5,7 @@ or neutral), confidence, severity_impact, ts, half_life (hours; null means that
 provenance_hash and signature_valid (true, false, or null for unsigned). The clock is a parameter.
 
 Counts and best-of choices are aggregates that combine before the shuffle, joined back by their keys; a subject, hash
-or type with very many streams never meets in one task. The tier table is the only broadcast side, of five rows.
+or type with very many streams never meets in one task.
 """
 
 from __future__ import annotations
@@ -52,10 +52,10 @@ def corroboration(streams: DataFrame) -> DataFrame:
 
 
 def with_authority(streams: DataFrame) -> DataFrame:
-    spark = streams.sparkSession
-    tiers = spark.createDataFrame(sorted(TIER_WEIGHTS.items()), "_tier int, _weight double")
+    """``streams`` with the weight of their tier, halved unless the signature is valid; the tier table is a literal map."""
+    weights = F.create_map(*(F.lit(x) for kv in sorted(TIER_WEIGHTS.items()) for x in kv))
     signed = F.when(F.col("signature_valid").eqNullSafe(True), 1.0).otherwise(UNSIGNED_FACTOR)
-    return streams.join(F.broadcast(tiers), F.col("source_tier") == F.col("_tier"), "left").withColumn("authority", F.col("_weight") * signed).drop("_tier", "_weight")
+    return streams.withColumn("authority", weights[F.col("source_tier")] * signed)
 
 
 def composite() -> Column:
