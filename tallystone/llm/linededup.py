@@ -76,9 +76,11 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
 
 def with_kept_text(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """All columns of ``docs`` plus the structs' fields ``_lines`` (before dropping), ``_dropped`` and ``_kept`` (text)."""
-    marks = keep_bitmaps(docs.select("doc_id", "text"), min_chars, min_docs).select(
-        F.col("doc_id").alias("_doc"), F.col("version").alias("_version"), F.col("keep_words").alias("_words")
-    )
+    return _joined(docs, keep_bitmaps(docs.select("doc_id", "text"), min_chars, min_docs))
+
+
+def _joined(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    marks = bitmaps.select(F.col("doc_id").alias("_doc"), F.col("version").alias("_version"), F.col("keep_words").alias("_words"))
     joined = docs.join(marks, (docs["doc_id"] == F.col("_doc")) & (F.xxhash64(docs["text"]) == F.col("_version")), "left")
     lines = _lines(docs["text"])
     stays = F.filter(
@@ -96,6 +98,6 @@ def with_kept_text(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int =
 
 def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """``docs`` with the remaining lines as text; a text that loses nothing stays as it is, null included."""
-    done = with_kept_text(numbered(docs, "doc_id", "text"), min_chars, min_docs)
+    done = _joined(numbered(docs, "doc_id", "text"), keep_bitmaps(docs.select("doc_id", "text"), min_chars, min_docs))
     done = done.withColumn("text", F.when(F.col("_dropped") > 0, F.col("_kept")).otherwise(F.col("text")))
     return restored(done, docs, "doc_id", "text")
