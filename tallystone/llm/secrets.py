@@ -2,7 +2,7 @@
 
 Three rules find spans by pattern: ``assign`` (a credential word, an assignment and a value), ``access`` (key ids that
 begin with AKIA) and ``hex`` (long lower-case hex runs). The randomness battery adds spans of kind ``random``: runs of
-``MIN_TOKEN`` or more encoding characters that mix digits and letters. The encoding is inferred from the characters,
+``MIN_TOKEN`` or more characters of one encoding, padding included, that mix digits and letters. The encoding is inferred from the characters,
 each character becomes its index in that alphabet, and three tests of uniform randomness are run on the indices: a
 chi-squared test over equal slices of the alphabet, a runs test about the alphabet's middle, and lag-one serial
 correlation. The smallest of the three p-values, times three, is the token's.
@@ -25,7 +25,13 @@ ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{24,}"
 MIN_TOKEN = 20
-TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
+#: '=' only ends a token, as padding, so a value begins after the '=' of its name. With padding 18 characters suffice.
+PAD = r"(?:={1,2}(?![A-Za-z0-9+/_=-]))"
+#: Runs of one alphabet: plain or with + and /, and those with - and _. A run that mixes both gives the pieces of each.
+TOKENS = (
+    rf"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9]{{20,}}+(?![+/_-]){PAD}?|[A-Za-z0-9]{{18,19}}+{PAD})|(?<![A-Za-z0-9+/])(?=[A-Za-z0-9]*+[+/])(?:[A-Za-z0-9+/]{{20,}}+{PAD}?|[A-Za-z0-9+/]{{18,19}}+{PAD})",
+    rf"(?<![A-Za-z0-9_-])(?=[A-Za-z0-9]*+[_-])(?:[A-Za-z0-9_-]{{20,}}+{PAD}?|[A-Za-z0-9_-]{{18,19}}+{PAD})",
+)
 #: Listed from the narrowest alphabet on; the first that holds every character is the token's encoding.
 ALPHABETS = {
     "hex": "0123456789abcdef",
@@ -112,7 +118,7 @@ def _p_value(v: Column, a: Column, n: Column, k: Column) -> Column:
 
 def _tokens(text: Column) -> Column:
     """Mixed tokens with their tests: start, end, encoding, band, bin."""
-    mixed = F.filter(located(text, TOKEN), lambda x: x["m"].rlike("[0-9]") & x["m"].rlike("[A-Za-z]"))
+    mixed = F.filter(F.concat(*(located(text, pattern) for pattern in TOKENS)), lambda x: x["m"].rlike("[0-9]") & x["m"].rlike("[A-Za-z]"))
     tested = F.transform(mixed, lambda x: F.struct(x["start"].alias("start"), (x["start"] + F.length(x["m"])).alias("end"), _tests(x["m"]).alias("t")))
     return F.filter(tested, lambda x: x["t"]["encoding"].isNotNull())
 
