@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -12,6 +13,7 @@ from tallystone.functions.lineage import cut
 
 LATENCY_WEIGHT, CAPACITY_WEIGHT, UTILISATION_WEIGHT = 0.3, 0.5, 0.2
 MAX_NODES = 10_000
+CUT_LEVELS = 50
 
 
 def node_score() -> Column:
@@ -84,22 +86,27 @@ def version_conflicts(uses: DataFrame, key: str, version: str) -> DataFrame:
     return uses.groupBy(key).agg(F.count_distinct(version).alias("versions"), F.min(version).alias("least"), F.max(version).alias("most")).where("versions > 1")
 
 
-def reachable_depth(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def reachable_depth(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """(node, depth): the longest path that leads to each node of an acyclic graph (a before b), level by level.
 
     Each round takes away the nodes without predecessors and their edges, by anti joins over what is left; lineage is
-    cut once a round. Nodes on a cycle or behind one never become free and are reported with a null depth.
+    cut once a round, and the levels found are joined up every CUT_LEVELS rounds. It goes on until no node is free; if
+    ``max_rounds`` is given and does not suffice, it raises. Nodes on a cycle or behind one never become free and are reported with a null depth.
     """
     nodes = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct()
     # One table for both: edges have a, nodes have none.
     rest = cut(edges.select("a", F.col("b").alias("node")).distinct().unionByName(nodes.select(F.lit(None).cast(edges.schema["a"].dataType).alias("a"), "node")))
     out = rest.where("a IS NULL").select("node", F.lit(None).cast("int").alias("depth")).limit(0)
-    for depth in range(max_rounds):
+    for depth in count():
         ready = rest.groupBy("node").agg(F.count("a").alias("n")).where("n = 0").select("node")
         ready = cut(ready)
         if ready.isEmpty():
             break
+        if depth == max_rounds:
+            raise RuntimeError(f"the graph is deeper than {max_rounds} levels")
         out = out.unionByName(ready.withColumn("depth", F.lit(depth)))
+        if depth % CUT_LEVELS == CUT_LEVELS - 1:
+            out = cut(out)
         rest = rest.join(ready, "node", "left_anti").join(ready.select(F.col("node").alias("a")), "a", "left_anti")
         rest = cut(rest.select("a", "node"))
     return out.unionByName(rest.where("a IS NULL").select("node", F.lit(None).cast("int").alias("depth")))
