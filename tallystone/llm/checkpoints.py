@@ -2,24 +2,34 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows of a checkpoint file, where the number of rows is known.
+FILE_ROWS = 200_000
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the session's checkpoint folder; a local one is made only where none is set, as in tests."""
+    """Use the session's checkpoint folder; a local one is made only where none is set and all runs on one machine."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tallystone-checkpoints-"))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it from there."""
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and read it from there.
+
+    ``rows``, an upper bound of its rows, keeps a small table from being written as one file a shuffle partition.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return (df if rows is None else df.coalesce(1 + rows // FILE_ROWS)).checkpoint(eager=True)
 
 
 def stored(df: DataFrame) -> DataFrame:

@@ -4,12 +4,12 @@ A fingerprint has a bit set where more than half of the text's word shingles (XX
 it. Equal fingerprints are merged first. Two fingerprints link if at most ``RADIUS`` of their 64 bits differ.
 
 Candidates: the fingerprint is cut into ``RADIUS + 2`` bands; a pair within the radius agrees on some two of them, so
-each fingerprint enters six buckets of 32 agreeing bits. Inside a task all buckets are compared together: the bits
-are stored as 64 vertical planes, one long bit string each, and a shift by d lines every fingerprint up with the d-th
-next one. Carry-save counters (ones, twos, more) add up the planes' differences for all these pairs at once, and a
-shift is abandoned as soon as every pair is past the radius. Buckets of more than ``BUCKET`` fingerprints are not
-compared there: their members are linked through the values at one bit's distance, as two fingerprints within two bits
-share such a value (or one is it), which costs 65 rows each however large the bucket is.
+each fingerprint enters six buckets of 32 agreeing bits. A bucket of more than ``BUCKET`` fingerprints is dealt again
+by the same rule over the bits that are still free, into buckets of 48 and then 56 agreeing bits; of the last kind
+none can hold more than 256 fingerprints. Inside a task all buckets are compared together: the bits are stored as 64
+vertical planes, one long bit string each, and a shift by d lines every fingerprint up with the d-th next one.
+Carry-save counters (ones, twos, more) add up the planes' differences for all these pairs at once, and a shift is
+abandoned as soon as every pair is past the radius.
 
 Components of the links give each document the smallest doc_id it reaches.
 
@@ -21,16 +21,17 @@ gives no rows; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallystone.llm.checkpoints import cut
-from tallystone.llm.components import smallest_reachable
+from tallystone.llm.columns import numbered, restored
+from tallystone.llm.components import least_reached, smallest_reachable
 from tallystone.session import share_package
 
 SHINGLE = 3
@@ -72,15 +73,29 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return rows.mapInArrow(lambda b: _fingerprint_batches(b, shingle), f"doc_id {kind}, fp long")
 
 
-#: The two bands of 16 bits that each of the six tables keys by.
-_PAIRS = [(a, b) for a in range(4) for b in range(a + 1, 4)]
+def _masks() -> list[list[int]]:
+    """For each depth the masks of the bits that a bucket's members share; those of mask i are split into 6 i to 6 i + 5."""
+    levels, spread = [], [[list(range(64))]]
+    for _ in range(3):
+        ways = []
+        for free in (f for group in spread for f in group):
+            bands = [free[i * len(free) // 4 : (i + 1) * len(free) // 4] for i in range(4)]
+            ways.append([sorted(bands[c] + bands[d]) for a in range(4) for b in range(a + 1, 4) for c, d in [[x for x in range(4) if x not in (a, b)]]])
+        levels.append([(1 << 64) - 1 - sum(1 << bit for bit in f) for group in ways for f in group])
+        spread = ways
+    return levels
 
 
-def _bucket_keys(fps: DataFrame) -> DataFrame:
-    """fp with its six bucket keys: the table's number above 32 agreeing bits."""
-    band = lambda i: F.shiftrightunsigned("fp", 16 * i).bitwiseAND(F.lit(0xFFFF))
-    keys = [F.lit(t << 32).cast("long").bitwiseOR(F.shiftleft(band(a), 16)).bitwiseOR(band(b)) for t, (a, b) in enumerate(_PAIRS)]
-    return fps.select("fp", F.explode(F.array(*keys)).alias("key"))
+_MASKS = _masks()
+
+
+def _bucket_keys(fps: DataFrame, depth: int) -> DataFrame:
+    """fp, way and key of the six buckets into which each row (fp and, past the first depth, way) is dealt next."""
+    signed = [m - (1 << 64) if m >> 63 else m for m in _MASKS[depth]]
+    step = lambda j: F.lit(j) if depth == 0 else F.col("way") * 6 + j
+    mask = lambda way: F.element_at(F.array(*map(F.lit, signed)), way + 1)
+    dealt = fps.select("fp", F.explode(F.array(*(step(j) for j in range(6)))).alias("way"))
+    return dealt.select("fp", "way", F.xxhash64("way", F.col("fp").bitwiseAND(mask(F.col("way")))).alias("key"))
 
 
 def _planes(fps: np.ndarray) -> list[int]:
@@ -125,24 +140,12 @@ def close_pairs(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.concatenate(left), np.concatenate(right)
 
 
-def _stars(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """For each of n positions the least position that it reaches over the links."""
-    least = np.arange(n)
-    while True:
-        before = least.copy()
-        np.minimum.at(least, left, before[right])
-        np.minimum.at(least, right, before[left])
-        least = least[least]
-        if (least == before).all():
-            return least
-
-
 def _link_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links inside the buckets of a task's rows, which come sorted by key; a bucket may reach over batches."""
     held: list[np.ndarray] = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
 
     def compared(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
-        least = _stars(len(fps), *close_pairs(keys, fps.view(np.uint64)))
+        least = least_reached(len(fps), *close_pairs(keys, fps.view(np.uint64)))
         linked = np.flatnonzero(least != np.arange(len(fps)))
         return pa.RecordBatch.from_arrays([pa.array(fps[linked]), pa.array(fps[least[linked]])], names=["a", "b"])
 
@@ -158,22 +161,23 @@ def _link_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprint_links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """(a, b): links that join every pair of distinct fingerprints (column fp) within the radius, stars where many meet."""
-    keys = _bucket_keys(fps)
-    sizes = keys.groupBy("key").count()
-    some = keys.join(sizes.where((F.col("count") > 1) & (F.col("count") <= bucket)).select("key"), "key", "left_semi")
-    compared = some.repartition("key").sortWithinPartitions("key", "fp").select("key", "fp").mapInArrow(_link_batches, "a long, b long")
-    crowded = keys.join(sizes.where(F.col("count") > bucket).select("key"), "key", "left_semi").select("fp").distinct()
-    near = F.concat(F.array("fp"), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda b: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), b))))
-    shared = crowded.select("fp", F.explode(near).alias("value"))
-    starred = shared.withColumn("least", F.min("fp").over(W.partitionBy("value"))).where("fp <> least").select(F.col("fp").alias("a"), F.col("least").alias("b")).distinct()
-    return compared.unionAll(starred)
+    found, rest = [], fps
+    for depth in range(len(_MASKS)):
+        keys = _bucket_keys(rest, depth)
+        sizes = keys.groupBy("key").count().where("count > 1")
+        if depth + 1 < len(_MASKS):
+            rest = keys.join(sizes.where(F.col("count") > bucket).select("key"), "key", "left_semi").select("fp", "way")
+            sizes = sizes.where(F.col("count") <= bucket)
+        some = keys.join(sizes.select("key"), "key", "left_semi")
+        found.append(some.repartition("key").sortWithinPartitions("key", "fp").select("key", "fp").mapInArrow(_link_batches, "a long, b long"))
+    return reduce(DataFrame.unionAll, found)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bucket: int = BUCKET) -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id that the document reaches) for every document row."""
     rows = cut(fingerprints(docs, shingle))
-    classes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")))
-    roots = smallest_reachable(fingerprint_links(classes.select("fp"), bucket))
+    classes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")), rows.count())
+    roots = smallest_reachable(fingerprint_links(classes.select("fp"), bucket), classes.count())
     rooted = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", "copies", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("members"))
     named = rooted.join(smallest, "root").where("copies > 1 or members > 1").select(F.col("fp").alias("class_fp"), "component_id")
@@ -182,9 +186,17 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bucket: int = BUCKE
 
 
 def keep_one_of_each(docs: DataFrame, shingle: int = SHINGLE, bucket: int = BUCKET) -> DataFrame:
-    """``docs`` without the documents whose component holds a smaller doc_id; rows with a null doc_id stay."""
-    gone = near_duplicates(docs.select("doc_id", "text"), shingle, bucket).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` without the documents whose component holds a smaller doc_id; rows with a null doc_id stay.
+
+    Documents are told apart by doc_id and text: of rows that repeat a doc_id only those go whose own text is a near
+    copy of a document with a smaller doc_id.
+    """
+    keyed = docs.select(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", F.xxhash64("text").alias("version"))).alias("doc_id"), "text")
+    gone = near_duplicates(keyed, shingle, bucket).where("doc_id.doc_id <> component_id.doc_id").select("doc_id.*").distinct()
+    gone = gone.select(F.col("doc_id").alias("_gone_id"), F.col("version").alias("_gone_version"))
+    rows = numbered(docs, "doc_id", "text")
+    kept = rows.join(gone, (F.col("doc_id") == F.col("_gone_id")) & (F.xxhash64("text") == F.col("_gone_version")), "left_anti")
+    return restored(kept, docs, "doc_id", "text")
 
 
 def fingerprint_hex(fp: str = "fp"):

@@ -72,11 +72,30 @@ def test_links_lose_nothing(spark, bucket):
     df = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in prints], "fp long")
     from tallystone.llm.components import smallest_reachable
 
-    roots = {r["node"]: r["root"] for r in smallest_reachable(simhash.fingerprint_links(df, bucket)).collect()}
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    for one_task in (0, 500_000):
+        roots = {r["node"]: r["root"] for r in smallest_reachable(simhash.fingerprint_links(df, bucket), one_task=one_task).collect()}
+        assert [roots.get(s, s) for s in signed] == _plain_components(signed, prints)
+
+
+def test_crowded_buckets_are_compared_by_planes(spark):
+    # Many fingerprints that agree on 40 bits: every level of buckets is crowded at 16, no pair may be lost.
+    rng = np.random.default_rng(9)
+    prints = sorted({0xABCD_0000_1234_5678 | int(x) << 32 for x in rng.integers(0, 1 << 16, 600)} | {0x1111_0000_0000_0000 | int(x) for x in rng.integers(0, 1 << 10, 300)})
+    df = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in prints], "fp long")
+    from tallystone.llm.components import smallest_reachable
+
+    roots = {r["node"]: r["root"] for r in smallest_reachable(simhash.fingerprint_links(df, 16)).collect()}
     signed = [p - (1 << 64) if p >> 63 else p for p in prints]
     assert [roots.get(s, s) for s in signed] == _plain_components(signed, prints)
 
 
+def test_rows_that_share_an_id_are_told_apart(spark, docs_of):
+    one, two = "the very same words of one text", "another text that nothing else is like at all"
+    rows = spark.createDataFrame([(1, one, "x", 1), (5, one, "x", 2), (5, two, "x", 3), (None, one, "x", 4), (7, None, "x", 5), (8, "", "x", 6)], "doc_id long, text string, _gone_id string, _gone_version int")
+    assert sorted(r["_gone_version"] for r in simhash.keep_one_of_each(rows).collect()) == [1, 3, 4, 5]
+
+
 def _matches(pattern, text, flags=0):
     return re.finditer(pattern, text, flags)
 
