@@ -34,6 +34,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,7 +46,7 @@ from tallystone.session import share_package
 FIT_TOXIC = 6_000
 FIT_ORDINARY = 12_000
 #: Passages that dictionaries are trained on: ordinary, toxic.
-FIT_BYTES = (18_000_000, 5_000_000)
+FIT_BYTES = (10_000_000, 4_000_000)
 WINDOW = 6
 STEP = 5
 THRESHOLDS = (2, 3, 4, 5, 6, 7, 8, 10)
@@ -54,6 +55,8 @@ ROUNDS = 7
 BASE = 200_000
 HARD = 1_000_000
 TOXIC = (32_000, 16_000)
+#: Passages for the ordinary dictionary at first, at most.
+FIRST = 40_000
 #: Ordinary passages looked through in a round, at least (if there are as many).
 POOL = 100_000
 FIT_THREADS = 4
@@ -114,10 +117,11 @@ def compressor(content: bytes) -> zstandard.ZstdCompressor:
 
 def lengths(by: zstandard.ZstdCompressor, data: bytes, spans: np.ndarray, threads: int = 0) -> np.ndarray:
     """Compressed length of each span (start, length) of ``data``."""
-    if not len(spans):
-        return np.zeros(0, np.int64)
-    out = by.multi_compress_to_buffer(zstandard.BufferWithSegments(data, spans.tobytes()), threads=threads)
-    return np.fromiter(map(len, map(out.__getitem__, range(len(out)))), np.int64, len(out))
+    sizes = np.zeros(len(spans), np.int64)
+    for at in range(0, len(spans), 20_000):
+        out = by.multi_compress_to_buffer(zstandard.BufferWithSegments(data, spans[at : at + 20_000].tobytes()), threads=threads)
+        sizes[at : at + 20_000] = np.fromiter(map(len, map(out.__getitem__, range(len(out)))), np.int64, len(out))
+    return sizes
 
 
 def _one_by_one(pieces: list[bytes]) -> tuple[bytes, np.ndarray]:
@@ -186,7 +190,7 @@ def _trained(size: int, passages: list[bytes], segment: int) -> bytes:
 def dictionaries(ordinary: list[bytes], toxic: tuple[list[bytes], list[bytes]], rounds: int = ROUNDS) -> tuple[bytes, bytes]:
     """The ordinary and the toxic dictionary from passages; the toxic ones in two halves that share no document."""
     halves = [h or toxic[1 - i] for i, h in enumerate(toxic)]
-    first = 2 * len(ordinary) // (rounds + 2)
+    first = min(2 * len(ordinary) // (rounds + 2), FIRST)
     base, rest = _trained(BASE, ordinary[:first], 48), ordinary[first:] or ordinary
     common, marked = Counter(w for p in rest for w in p.split()), Counter(w for h in toxic for p in h for w in p.split())
     share = RATIO * marked.total() / max(1, common.total())
@@ -290,11 +294,11 @@ def fit(docs: DataFrame, labels: DataFrame, fit_bytes: tuple[int, int] = FIT_BYT
         return Model()
     # Windows overlap by WINDOW - STEP words, hence STEP / WINDOW.
     shares = tuple(int(min(1.0, most * STEP / WINDOW / sizes[k]) * _GRAIN) for k, most in enumerate(fit_bytes))
-    passages = (
-        sample.where("not held").select("key", "toxic", "text").mapInArrow(lambda b: _passage_batches(b, shares), "toxic int, half int, draw long, passage binary").toPandas().sort_values(["draw", "passage"])
-    )
-    of = lambda *where: passages.loc[np.logical_and.reduce([passages[c] == v for c, v in where]), "passage"].tolist()
-    both = dictionaries(of(("toxic", 0)), (of(("toxic", 1), ("half", 0)), of(("toxic", 1), ("half", 1))))
+    drawn = sample.where("not held").select("key", "toxic", "text").mapInArrow(lambda b: _passage_batches(b, shares), "toxic int, half int, draw long, passage binary").toArrow().sort_by([("draw", "ascending"), ("passage", "ascending")])
+    of = lambda where: drawn.filter(where).column("passage").to_pylist()
+    ordinary = of(pa.compute.field("toxic") == 0)
+    both = dictionaries(ordinary, tuple(of((pa.compute.field("toxic") == 1) & (pa.compute.field("half") == h)) for h in (0, 1)))
+    del drawn, ordinary
     shared = spark.sparkContext.broadcast(both)  # some BASE + HARD + 2 * TOXIC bytes each
     measured = lambda rows: rows.select("key", "toxic", "text").mapInArrow(lambda b: _feature_batches(b, shared), "key long, toxic int, x array<double>").toPandas().sort_values(["key", "toxic"])
     rows = measured(sample.where("held"))
