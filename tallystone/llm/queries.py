@@ -30,7 +30,7 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.secret_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = secrets.secret_spans(table(spark, sf_dir, "documents"), "doc_id")
     return found.select(
         "doc_id",
         *(secrets.count_kind(F.col("base"), i).alias(f"n_{kind}") for i, kind in enumerate(secrets.KINDS[:3])),
