@@ -55,17 +55,20 @@ def division(offers: DataFrame, needs: DataFrame, key: str, item: str) -> DataFr
     return offers.join(wanted, item, "left_semi").groupBy(key).agg(F.count_distinct(item).alias("n")).where(F.col("n") == total).select(key)
 
 
-def trust(outcomes: DataFrame, key: str, breadth: int) -> DataFrame:
-    """.4 of the success rate, .3 of recency-weighted success (the newest half), .3 of the breadth of kinds; .5 without history."""
-    g = outcomes.groupBy(key).agg(F.avg(F.col("ok").cast("double")).alias("rate"), F.avg(F.when(F.col("recent"), F.col("ok").cast("double"))).alias("late"), F.count_distinct("kind").alias("kinds"))
-    return g.select(key, F.bround(0.4 * F.coalesce("rate", F.lit(0.5)) + 0.3 * F.coalesce("late", F.lit(0.5)) + 0.3 * F.least(F.col("kinds") / F.lit(breadth), F.lit(1.0)), 4).alias("trust"))
+def trust(heartbeats: DataFrame, outcomes: DataFrame, key: str, system: list[str]) -> DataFrame:
+    """.4 of the success rate (.5 without history), .3 of freshness (a node that is heard of is fresh) and .3 of the
+    share of the system's capabilities that the heartbeat (key, capabilities) offers (1 if the system names none)."""
+    rate = outcomes.groupBy(key).agg(F.avg(F.col("ok").cast("double")).alias("_rate"))
+    breadth = F.size(F.array_intersect("capabilities", F.array(*map(F.lit, sorted({*system}))))) / F.lit(float(len({*system}))) if system else F.lit(1.0)
+    return heartbeats.join(rate, key, "left").select(key, F.bround(0.4 * F.coalesce("_rate", F.lit(0.5)) + 0.3 + 0.3 * F.coalesce(breadth, F.lit(0.0)), 4).alias("trust"))
 
 
 def standing(messages: DataFrame, key: str, order: str) -> DataFrame:
-    """After each message (delta, strike) the running trust and status: banned at three strikes, suspect at one with trust below .5."""
+    """After each message (valid or not) the share of valid ones so far and the status: banned at three violations,
+    suspect at one while that share is below a half."""
     upto = W.partitionBy(key).orderBy(order)
-    rows = messages.withColumn("trust", F.sum("delta").over(upto)).withColumn("strikes", F.sum(F.col("strike").cast("int")).over(upto))
-    return rows.withColumn("status", F.when(F.col("strikes") >= 3, "banned").when((F.col("strikes") >= 1) & (F.col("trust") < 50), "suspect").otherwise("active"))
+    rows = messages.withColumn("trust", F.bround(F.avg(F.col("valid").cast("double")).over(upto), 4)).withColumn("violations", F.count_if(~F.col("valid")).over(upto))
+    return rows.withColumn("status", F.when(F.col("violations") >= 3, "BANNED").when((F.col("violations") >= 1) & (F.col("trust") < 0.5), "SUSPECT").otherwise("HEALTHY"))
 
 
 def available(nodes: DataFrame, cooling: DataFrame, now_s: Column, stale_s: int) -> DataFrame:
@@ -126,8 +129,10 @@ def tree_rollup(leaves: DataFrame) -> DataFrame:
 
 
 def urgency(jobs: DataFrame, limit: int) -> DataFrame:
-    """Pending jobs by urgency: priority and one over the latency target, larger first; looser targets therefore come earlier among equals."""
-    return jobs.withColumn("urgency", F.col("priority") + 1.0 / F.col("target_ms")).orderBy("urgency", "job").limit(limit)
+    """Pending jobs, the most urgent (the smallest score) first: the priority's rank times 1000 and one over the latency
+    target, nothing for a target of 0 or less; looser targets therefore come earlier among equals."""
+    near = F.when(F.col("target_ms") <= 0, 0.0).otherwise(1.0 / F.greatest(F.col("target_ms"), F.lit(1)))
+    return jobs.withColumn("urgency", F.col("priority") * 1000.0 + near).orderBy("urgency", "job").limit(limit)
 
 
 def due(jobs: DataFrame, now: int, limit: int = 100) -> DataFrame:
@@ -141,22 +146,51 @@ def gate_order(proposals: DataFrame, priorities: dict[str, int]) -> DataFrame:
     return proposals.withColumn("priority", F.coalesce(rank[F.col("kind")], F.lit(99))).withColumn("derived", derived).orderBy("priority", "proposal")
 
 
-def quarantine(cases: DataFrame) -> DataFrame:
-    verdict = F.when(F.col("threat") >= 0.8, "block").when(F.col("classified") & F.col("egress"), "block").when(F.col("chain_length") > 10, "review").when(F.col("energy") > 100, "throttle").otherwise("pass")
-    return cases.withColumn("verdict", verdict)
+def ingress(cases: DataFrame) -> DataFrame:
+    """Work coming in: quarantined at a threat of .7, deferred if it costs more energy than is left and less than .3 of
+    the budget is left, else permitted. No known budget is no limit."""
+    short = (F.col("remaining_j") < F.col("cost_j")) & (F.col("remaining_j") / F.col("budget_j") < 0.3)
+    return cases.withColumn("verdict", F.when(F.col("threat") >= 0.7, "quarantine").when(F.coalesce(short, F.lit(False)), "defer").otherwise("permit"))
 
 
-def torque(rows: DataFrame, group: str, budget: float, floor: float, ceiling: float) -> DataFrame:
-    """Shares of a group's budget in proportion to demand, raised to a floor, scaled down to fit, cut at a ceiling; the rest is banked.
+def egress(cases: DataFrame, own: str) -> DataFrame:
+    """Results going out: classified ones leave for no other node (``own`` names the column of this one), nor do results
+    whose chain of provenance is longer than ten."""
+    leaves = (F.col("sensitivity") == "classified") & (F.col("destination") != F.col(own))
+    reason = F.when(leaves, "classified_to_external").when(F.col("chain_length") > 10, "provenance_chain_too_long")
+    return cases.withColumn("reason", reason).withColumn("verdict", F.when(F.col("reason").isNull(), "permit").otherwise("reject"))
 
-    The group's sums are aggregates joined back, so a group of any size is divided in parallel.
+
+def torque(rows: DataFrame, group: str, available: float, floor: float) -> DataFrame:
+    """Shares of what is available in proportion to priority * efficiency * requested; the rest is banked.
+
+    Rows that request something get the floor at least; what that takes is reclaimed from shares above the floor in
+    proportion to their excess, or, if those don't suffice, from all. Shares are clamped to 0 to 1 and scaled down to
+    the total. A group's sums are aggregates joined back, so a group of any size is divided in parallel.
     """
-    total = rows.groupBy(group).agg(F.sum("demand").alias("_d"))
-    out = rows.join(total, group).withColumn("raised", F.greatest(F.lit(floor), budget * F.col("demand") / F.col("_d")))
-    over = out.groupBy(group).agg(F.sum("raised").alias("_r"))
-    out = out.join(over, group).withColumn("share", F.least(F.lit(ceiling), F.col("raised") * F.least(F.lit(1.0), F.lit(budget) / F.col("_r"))))
-    used = out.groupBy(group).agg(F.sum("share").alias("_u"))
-    return out.join(used, group).withColumn("banked", F.lit(budget) - F.col("_u")).drop("_d", "_r", "_u", "raised")
+    tiny = 1e-6
+    total = F.lit(float(available))
+
+    def with_sums(df: DataFrame, **sums: Column) -> DataFrame:
+        return df.join(df.groupBy(group).agg(*(F.sum(c).alias(n) for n, c in sums.items())), group)
+
+    weight = F.col("priority") * F.col("efficiency") * F.col("requested")
+    out = with_sums(rows.withColumn("_w", weight), _sum=F.greatest(F.col("_w"), F.lit(0.0)))
+    demand = F.col("_sum") > tiny
+    active = demand & (F.col("requested") > tiny)
+    raw = F.when(active, F.col("_w") / F.col("_sum") * total).otherwise(0.0)
+    out = out.withColumn("_active", active).withColumn("_raw", raw).withColumn("_short", F.when(active, F.greatest(F.lit(0.0), F.lit(floor) - raw)).otherwise(0.0))
+    out = out.withColumn("_raw", F.when(F.col("_active"), F.greatest(F.col("_raw"), F.lit(floor))).otherwise(0.0))
+    out = with_sums(out.withColumn("_over", F.when(F.col("_active"), F.col("_raw") - floor).otherwise(0.0)), _extra=F.col("_short"), _spare=F.col("_over"))
+    mended = (
+        F.when((F.col("_extra") <= tiny) | ~F.col("_active"), F.col("_raw"))
+        .when(F.col("_spare") >= F.col("_extra"), F.col("_raw") - F.col("_over") * (F.col("_extra") / F.col("_spare")))
+        .otherwise(F.col("_raw") * (total / (total + F.col("_extra"))))
+    )
+    out = with_sums(out.withColumn("_share", F.least(F.lit(1.0), F.greatest(F.lit(0.0), mended))), _used=F.col("_share"))
+    scale = F.when((F.col("_used") > total) & (total > tiny), total / F.col("_used")).otherwise(1.0)
+    banked = F.greatest(F.lit(0.0), total - F.col("_used") * scale)
+    return out.select(*rows.columns, (F.col("_share") * scale).alias("share"), banked.alias("banked"))
 
 
 def select_model(models: DataFrame, requests: DataFrame) -> DataFrame:

@@ -12,15 +12,20 @@ from pyspark.sql import functions as F
 
 #: Fixed limits of the run buckets.
 HEAVY_STATION_MS, HEAVY_TOKENS = 30_000, 8_000
-TRIVIAL_STATIONS, TRIVIAL_TOKENS, MICRO_STATIONS, MICRO_TOKENS, MICRO_STATION_MS = 1, 200, 3, 2_000, 5_000
+TRIVIAL_STATIONS, TRIVIAL_TOKENS, MICRO_STATIONS, MICRO_TOKENS, MICRO_STATION_MS = 1, 500, 2, 2_000, 5_000
 BUCKETS = ["trivial", "micro_solvable", "structured_final", "heavy"]
-MIN_RUNS = 20
+MIN_FAILS = 20
 
 
 def assemble_runs(events: DataFrame) -> DataFrame:
-    """One row a run from its events (run_id, seq, kind, tokens, ms, ok, station): the last outcome wins, parts are counted."""
+    """One row a run from its events (run_id, seq, kind, tokens, ms, ok, checks): the last outcome wins, parts are counted.
+
+    ``checks`` are a part's flags m1 to m4 (array of booleans, null where it has none); a false one marks the run.
+    """
     outcome = F.col("kind") == "outcome"
     part = F.col("kind") == "station"
+    if "checks" not in events.columns:
+        events = events.withColumn("checks", F.lit(None).cast("array<boolean>"))
     return events.groupBy("run_id").agg(
         F.max_by(F.when(outcome, F.col("ok")), F.when(outcome, F.col("seq"))).alias("ok"),
         F.max_by(F.when(outcome, F.col("tokens")), F.when(outcome, F.col("seq"))).alias("total"),
@@ -29,6 +34,7 @@ def assemble_runs(events: DataFrame) -> DataFrame:
         F.max(F.when(part, F.col("ms"))).alias("max_ms"),
         F.sum(F.when(part, F.col("ms"))).alias("elapsed_ms"),
         F.count_if(outcome).alias("n_outcomes"),
+        F.count_if(part & F.coalesce(F.array_contains("checks", False), F.lit(False))).alias("n_failed_checks"),
     )
 
 
@@ -40,7 +46,7 @@ def total_tokens() -> Column:
 def run_bucket() -> Column:
     tokens, ms = total_tokens(), F.coalesce(F.col("max_ms"), F.lit(0))
     return (
-        F.when(~F.coalesce(F.col("ok"), F.lit(True)) | (ms > HEAVY_STATION_MS) | (tokens > HEAVY_TOKENS), "heavy")
+        F.when((F.col("n_failed_checks") > 0) | ~F.coalesce(F.col("ok"), F.lit(True)) | (ms > HEAVY_STATION_MS) | (tokens > HEAVY_TOKENS), "heavy")
         .when((F.col("n_stations") <= TRIVIAL_STATIONS) & (tokens <= TRIVIAL_TOKENS), "trivial")
         .when((F.col("n_stations") <= MICRO_STATIONS) & (tokens <= MICRO_TOKENS) & (ms <= MICRO_STATION_MS), "micro_solvable")
         .otherwise("structured_final")
@@ -74,12 +80,13 @@ def with_family(rows: DataFrame, families: dict[str, str], column: str, default:
     return rows.withColumn("family", F.coalesce(mapping[F.col(column)], F.lit(default)))
 
 
-def decision(failures: DataFrame, n_runs: Column | int, min_runs: int = MIN_RUNS) -> DataFrame:
-    """Verdict from failures by family (family, n): too few runs, a family that makes half of them (retrieval before
-    compression), else that no family dominates."""
-    total = failures.agg(F.sum("n").alias("total"), F.sum(F.when(F.col("family") == "retrieval", F.col("n"))).alias("retrieval"), F.sum(F.when(F.col("family") == "compression", F.col("n"))).alias("compression"))
-    half = lambda c: F.coalesce(F.col(c), F.lit(0)) * 2 >= F.col("total")
-    verdict = F.when(F.lit(n_runs) < min_runs, "UNDERPOWERED").when(half("retrieval"), "RETRIEVAL").when(half("compression"), "COMPRESSION").otherwise("NO_DOMINANT_FAMILY")
+def decision(failures: DataFrame, min_fails: int = MIN_FAILS) -> DataFrame:
+    """Verdict from failures by family (family, n): too few failures to conclude, a family that makes half of them
+    (retrieval before compression), else that the line is healthy."""
+    part = lambda name: F.coalesce(F.sum(F.when(F.col("family") == name, F.col("n"))), F.lit(0)).alias(name)
+    total = failures.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), part("retrieval"), part("compression"))
+    half = lambda c: (F.col(c) * 2 >= F.col("total")) & (F.col(c) > 0)
+    verdict = F.when(F.col("total") < min_fails, "UNDERPOWERED").when(half("retrieval"), "PHASE_4").when(half("compression"), "PHASE_5").otherwise("LINE_HEALTHY")
     return total.withColumn("verdict", verdict)
 
 

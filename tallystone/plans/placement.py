@@ -33,13 +33,16 @@ def pl_division(spark, sf_dir):
 
 
 def pl_trust(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("user_id", (F.col("event_type") != "error").alias("ok"), (F.dayofmonth("ts") > 15).alias("recent"), F.col("event_type").alias("kind"))
-    return op.trust(e, "user_id", 6)
+    u = F.col("user_id")
+    e = table(spark, sf_dir, "events")
+    beats = e.select("user_id").distinct().select("user_id", F.array(F.concat(F.lit("c"), u % 4), F.concat(F.lit("c"), u % 7), F.lit("other")).alias("capabilities"))
+    outcomes = e.where("user_id % 10 <> 0").select("user_id", (F.col("event_type") != "error").alias("ok"))
+    return op.trust(beats, outcomes, "user_id", ["c0", "c1", "c2", "c3", "c5"])
 
 
 def pl_standing(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("user_id", "event_id", (F.col("event_id") % 7 - 2).alias("delta"), (F.col("event_id") % 23 == 0).alias("strike"))
-    return op.standing(e, "user_id", "event_id").select("event_id", "trust", "status")
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", (F.col("event_id") % 5 != 1).alias("valid"))
+    return op.standing(e, "user_id", "event_id").select("event_id", "trust", "violations", "status")
 
 
 def pl_available(spark, sf_dir):
@@ -95,7 +98,7 @@ def pl_gates(spark, sf_dir):
 
 
 def pl_urgency(spark, sf_dir):
-    j = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("job"), F.substring("o_orderpriority", 1, 1).cast("int").alias("priority"), (100 + F.col("o_custkey") % 900).alias("target_ms"))
+    j = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("job"), F.substring("o_orderpriority", 1, 1).cast("int").alias("priority"), (F.col("o_custkey") % 900 - 40).alias("target_ms"))
     return op.urgency(j, 50).select("job", F.round("urgency", 9).alias("urgency"))
 
 
@@ -103,15 +106,22 @@ def pl_due(spark, sf_dir):
     return op.due(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job"), (F.col("o_custkey") % 97).alias("due")), 13)
 
 
-def pl_quarantine(spark, sf_dir):
+def pl_ingress(spark, sf_dir):
     i = F.col("event_id")
-    cases = table(spark, sf_dir, "events").select("event_id", ((i % 100) / 100.0).alias("threat"), (i % 3 == 0).alias("classified"), (i % 5 == 0).alias("egress"), (i % 14).alias("chain_length"), (F.col("value") * 4).alias("energy"))
-    return op.quarantine(cases).select("event_id", "verdict")
+    cases = table(spark, sf_dir, "events").select("event_id", ((i % 100) / 100.0).alias("threat"), F.col("value").alias("cost_j"), F.when(i % 7 != 0, i % 90).alias("remaining_j"), F.lit(100.0).alias("budget_j"))
+    return op.ingress(cases).select("event_id", "verdict")
+
+
+def pl_egress(spark, sf_dir):
+    i = F.col("event_id")
+    cases = table(spark, sf_dir, "events").select("event_id", F.when(i % 3 == 0, "classified").otherwise("open").alias("sensitivity"), (i % 5).alias("destination"), (i % 2).alias("node"), (i % 14).alias("chain_length"))
+    return op.egress(cases, "node").select("event_id", "verdict", "reason")
 
 
 def pl_torque(spark, sf_dir):
-    s = table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_suppkey") % 6).alias("frame"), (1.0 + F.col("s_suppkey") * 17 % 40).alias("demand"))
-    return op.torque(s, "frame", 100.0, 3.0, 9.0).select("s_suppkey", F.round("share", 6).alias("share"), F.round("banked", 6).alias("banked"))
+    k = F.col("s_suppkey")
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", (k % 6).alias("frame"), (1.0 + k * 17 % 40).alias("priority"), (0.5 + k % 3 / 10.0).alias("efficiency"), F.when((k % 11 == 0) | (k % 6 == 5), 0.0).otherwise(0.1 + k % 9 / 10.0).alias("requested"))
+    return op.torque(s, "frame", 4.0, 0.05).select("s_suppkey", F.round("share", 6).alias("share"), F.round("banked", 6).alias("banked"))
 
 
 def pl_model(spark, sf_dir):
@@ -134,7 +144,7 @@ _EDGES = """p AS (SELECT p_partkey AS b FROM part), e AS (SELECT b // 3 AS a, b
 UNION ALL SELECT b // 5, b FROM p WHERE b > 0 UNION ALL SELECT b * 3, b FROM p WHERE b % 100 = 99 AND b * 3 IN (FROM p))"""
 
 QUERIES = {f.__name__: f for f in (
-    pl_best_node, pl_route, pl_division, pl_trust, pl_standing, pl_available, pl_least_loaded, pl_graph, pl_undeclared, pl_versions, pl_topo, pl_cycle, pl_rollup, pl_gates, pl_urgency, pl_due, pl_quarantine, pl_torque, pl_model, pl_treaties, pl_vram,
+    pl_best_node, pl_route, pl_division, pl_trust, pl_standing, pl_available, pl_least_loaded, pl_graph, pl_undeclared, pl_versions, pl_topo, pl_cycle, pl_rollup, pl_gates, pl_urgency, pl_due, pl_ingress, pl_egress, pl_torque, pl_model, pl_treaties, pl_vram,
 )}
 
 ORACLES = {
@@ -143,9 +153,10 @@ ORACLES = {
 r AS (SELECT kind, node, row_number() OVER (PARTITION BY kind ORDER BY round_even(trust * 0.5e0 + len(list_intersect(needs, tags)) / 2e0 * 0.3e0 + headroom * 0.2e0, 9) DESC, node) AS r FROM k JOIN n ON list_has_any(needs, tags)),
 c AS (SELECT kind, string_agg(node, '>' ORDER BY r) AS chain FROM r WHERE r <= 3 GROUP BY kind) SELECT event_id, chain FROM events JOIN c ON kind = event_id % 12""",
     "pl_division": "SELECT l_suppkey FROM lineitem GROUP BY l_suppkey HAVING count(DISTINCT l_partkey % 40) = 40",
-    "pl_trust": "SELECT user_id, round_even(0.4e0 * avg(CAST(event_type <> 'error' AS INTEGER)) + 0.3e0 * coalesce(avg(CAST(event_type <> 'error' AS INTEGER)) FILTER (WHERE day(ts) > 15), 0.5e0) + 0.3e0 * least(count(DISTINCT event_type) / 6e0, 1e0), 4) AS trust FROM events GROUP BY user_id",
-    "pl_standing": """WITH s AS (SELECT event_id, CAST(sum(event_id % 7 - 2) OVER w AS BIGINT) AS trust, count(*) FILTER (WHERE event_id % 23 = 0) OVER w AS strikes FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
-SELECT event_id, trust, CASE WHEN strikes >= 3 THEN 'banned' WHEN strikes >= 1 AND trust < 50 THEN 'suspect' ELSE 'active' END AS status FROM s""",
+    "pl_trust": """WITH r AS (SELECT user_id, avg(CAST(event_type <> 'error' AS INTEGER)) AS rate FROM events WHERE user_id % 10 <> 0 GROUP BY 1), u AS (SELECT DISTINCT user_id, list_intersect(['c' || user_id % 4, 'c' || user_id % 7], ['c0', 'c1', 'c2', 'c3', 'c5']) AS met FROM events)
+SELECT user_id, round_even(0.4e0 * coalesce(rate, 0.5e0) + 0.3e0 + 0.3e0 * (len(list_distinct(met)) / 5e0), 4) AS trust FROM u LEFT JOIN r USING (user_id)""",
+    "pl_standing": """WITH s AS (SELECT event_id, round_even(avg(CAST(event_id % 5 <> 1 AS INTEGER)) OVER w, 4) AS trust, count(*) FILTER (WHERE event_id % 5 = 1) OVER w AS violations FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+SELECT event_id, trust, violations, CASE WHEN violations >= 3 THEN 'BANNED' WHEN violations >= 1 AND trust < 0.5 THEN 'SUSPECT' ELSE 'HEALTHY' END AS status FROM s""",
     "pl_available": "SELECT s_suppkey AS node FROM supplier WHERE 500 - s_suppkey * 41 % 500 <= 300 AND s_suppkey % 9 <> 0",
     "pl_least_loaded": "WITH w AS (SELECT l_suppkey, count(*) AS load FROM lineitem GROUP BY 1) SELECT l_suppkey % 8 AS kind, l_suppkey AS worker FROM w WHERE load < 620 QUALIFY row_number() OVER (PARTITION BY l_suppkey % 8 ORDER BY load, l_suppkey) = 1",
     "pl_graph": "SELECT c_custkey AS node, coalesce((SELECT arg_max(o_orderstatus, o_orderkey) FROM orders WHERE o_custkey = c_custkey), 'unknown') AS state FROM customer",
@@ -157,11 +168,17 @@ SELECT a AS node FROM on_cycle UNION SELECT b FROM r WHERE a IN (FROM on_cycle)"
     "pl_rollup": """WITH l AS (SELECT o_orderkey AS i FROM orders), p AS (SELECT CAST(i % 5 AS VARCHAR) AS path, i FROM l UNION ALL SELECT i % 5 || '/' || i % 15, i FROM l UNION ALL SELECT i % 5 || '/' || i % 15 || '/' || i, i FROM l)
 SELECT path, CASE WHEN bool_or(i % 700 = 1) THEN 'failed' WHEN bool_and(i % 15 < 9) THEN 'done' ELSE 'open' END AS state, count(*) AS leaves FROM p GROUP BY path""",
     "pl_gates": "SELECT p_name || '-' || p_partkey AS proposal, CASE p_type WHEN 'ECONOMY' THEN 1 WHEN 'SMALL' THEN 2 ELSE 99 END AS priority, CAST('0x' || substr(sha256(p_name || '-' || p_partkey), 1, 12) AS BIGINT) AS derived FROM part",
-    "pl_urgency": "SELECT o_orderkey AS job, round(CAST(substr(o_orderpriority, 1, 1) AS INTEGER) + 1e0 / (100 + o_custkey % 900), 9) AS urgency FROM orders WHERE o_orderstatus = 'P' ORDER BY CAST(substr(o_orderpriority, 1, 1) AS INTEGER) + 1e0 / (100 + o_custkey % 900), o_orderkey LIMIT 50",
+    "pl_urgency": """WITH j AS (SELECT o_orderkey AS job, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) * 1000e0 + CASE WHEN o_custkey % 900 - 40 <= 0 THEN 0e0 ELSE 1e0 / (o_custkey % 900 - 40) END AS u FROM orders WHERE o_orderstatus = 'P')
+SELECT job, round(u, 9) AS urgency FROM j ORDER BY u, job LIMIT 50""",
     "pl_due": "SELECT o_orderkey AS job, o_custkey % 97 AS due FROM orders WHERE o_custkey % 97 <= 13 ORDER BY due, job LIMIT 100",
-    "pl_quarantine": "SELECT event_id, CASE WHEN event_id % 100 >= 80 THEN 'block' WHEN event_id % 15 = 0 THEN 'block' WHEN event_id % 14 > 10 THEN 'review' WHEN value * 4 > 100 THEN 'throttle' ELSE 'pass' END AS verdict FROM events",
-    "pl_torque": """WITH s AS (SELECT s_suppkey, s_suppkey % 6 AS f, 1e0 + s_suppkey * 17 % 40 AS d FROM supplier), r AS (SELECT *, greatest(3e0, 100e0 * d / sum(d) OVER (PARTITION BY f)) AS raised FROM s),
-x AS (SELECT *, least(9e0, raised * least(1e0, 100e0 / sum(raised) OVER (PARTITION BY f))) AS share FROM r) SELECT s_suppkey, round(share, 6) AS share, round(100e0 - sum(share) OVER (PARTITION BY f), 6) AS banked FROM x""",
+    "pl_ingress": "SELECT event_id, CASE WHEN event_id % 100 >= 70 THEN 'quarantine' WHEN event_id % 7 <> 0 AND event_id % 90 < value AND event_id % 90 < 30 THEN 'defer' ELSE 'permit' END AS verdict FROM events",
+    "pl_egress": """WITH r AS (SELECT event_id, CASE WHEN event_id % 3 = 0 AND event_id % 5 <> event_id % 2 THEN 'classified_to_external' WHEN event_id % 14 > 10 THEN 'provenance_chain_too_long' END AS reason FROM events)
+SELECT event_id, CASE WHEN reason IS NULL THEN 'permit' ELSE 'reject' END AS verdict, reason FROM r""",
+    "pl_torque": """WITH s AS (SELECT s_suppkey, s_suppkey % 6 AS f, (1e0 + s_suppkey * 17 % 40) * (0.5e0 + s_suppkey % 3 / 10e0) * q AS w, q FROM (SELECT s_suppkey, CASE WHEN s_suppkey % 11 = 0 OR s_suppkey % 6 = 5 THEN 0e0 ELSE 0.1e0 + s_suppkey % 9 / 10e0 END AS q FROM supplier)),
+r AS (SELECT *, CASE WHEN q > 0 AND sum(w) OVER g > 1e-6 THEN w / sum(w) OVER g * 4 END AS raw FROM s WINDOW g AS (PARTITION BY f)),
+x AS (SELECT *, CASE WHEN raw IS NOT NULL THEN greatest(raw, 0.05e0) END AS lifted, sum(greatest(0.05e0 - raw, 0)) OVER g AS extra, sum(greatest(raw - 0.05e0, 0)) OVER g AS spare FROM r WINDOW g AS (PARTITION BY f)),
+m AS (SELECT *, least(1e0, coalesce(CASE WHEN extra <= 1e-6 THEN lifted WHEN spare >= extra THEN lifted - (lifted - 0.05e0) * extra / spare ELSE lifted * (4 / (4 + extra)) END, 0)) AS share FROM x)
+SELECT s_suppkey, round(CASE WHEN sum(share) OVER g > 4 THEN share * 4 / sum(share) OVER g ELSE share END, 6) AS share, round(greatest(0, 4 - least(4, sum(share) OVER g)), 6) AS banked FROM m WINDOW g AS (PARTITION BY f)""",
     "pl_model": """WITH m AS (SELECT p_size % 10 AS vertical, p_partkey AS model, p_partkey % 3 AS tier FROM part WHERE NOT (p_size % 10 = 4 AND p_partkey % 3 = 1)), q AS (SELECT DISTINCT vertical, unnest([0, 1, 2]) AS tier FROM m)
 SELECT vertical, CAST(q.tier AS BIGINT) AS tier, coalesce(min(model) FILTER (WHERE m.tier = q.tier), min(model)) AS model FROM q JOIN m USING (vertical) GROUP BY vertical, q.tier""",
     "pl_treaties": "WITH p AS (SELECT l_orderkey AS treaty, l_linenumber, bool_or(l_quantity > 12) AS signed FROM lineitem GROUP BY ALL) SELECT treaty FROM p GROUP BY treaty HAVING bool_and(signed)",

@@ -13,9 +13,9 @@ FAMILIES = {"error": "retrieval", "click": "compression", "view": "compression"}
 def _runs(spark, sf_dir):
     """Each order is a run: its line items are stations, the order is the outcome."""
     li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
-    parts = li.select(F.col("l_orderkey").alias("run_id"), F.col("l_linenumber").cast("long").alias("seq"), F.lit("station").alias("kind"), (F.col("l_partkey") % 900).alias("tokens"), (F.col("l_suppkey") * 120).alias("ms"), F.lit(None).cast("boolean").alias("ok"))
+    parts = li.select(F.col("l_orderkey").alias("run_id"), F.col("l_linenumber").cast("long").alias("seq"), F.lit("station").alias("kind"), (F.col("l_partkey") % 900).alias("tokens"), (F.col("l_suppkey") * 120).alias("ms"), F.lit(None).cast("boolean").alias("ok"), F.when(F.col("l_partkey") % 5 != 0, F.array(F.lit(True), F.col("l_partkey") % 97 != 1, F.lit(True), F.lit(None).cast("boolean"))).alias("checks"))
     outs = o.where("o_orderkey % 50 <> 3").select(F.col("o_orderkey").alias("run_id"), F.lit(100).cast("long").alias("seq"), F.lit("outcome").alias("kind"), F.when(F.col("o_orderkey") % 3 == 0, 0).otherwise(F.col("o_custkey") % 4000).cast("long").alias("tokens"), F.lit(0).cast("long").alias("ms"), (F.col("o_orderkey") % 40 != 0).alias("ok"))
-    return op.assemble_runs(parts.unionByName(outs))
+    return op.assemble_runs(parts.unionByName(outs, allowMissingColumns=True))
 
 
 def _bucketed(spark, sf_dir):
@@ -60,7 +60,7 @@ def tl_cube(spark, sf_dir):
 
 def tl_decision(spark, sf_dir):
     e = op.with_family(table(spark, sf_dir, "events").where("ts >= TIMESTAMP_NTZ '2024-01-05 00:00:00'"), FAMILIES, "event_type")
-    return op.decision(e.groupBy("family").agg(F.count(F.lit(1)).alias("n")), 100)
+    return op.decision(e.groupBy("family").agg(F.count(F.lit(1)).alias("n")))
 
 
 def tl_rolling(spark, sf_dir):
@@ -138,10 +138,10 @@ def tl_compress_gate(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", (F.length("text") <= 2000).alias("passes"))
 
 
-_RUNS = """WITH parts AS (SELECT l_orderkey AS run_id, sum(l_partkey % 900) AS parts_total, count(*) AS n_stations, max(l_suppkey * 120) AS max_ms FROM lineitem GROUP BY 1),
+_RUNS = """WITH parts AS (SELECT l_orderkey AS run_id, sum(l_partkey % 900) AS parts_total, count(*) AS n_stations, max(l_suppkey * 120) AS max_ms, bool_or(l_partkey % 5 <> 0 AND l_partkey % 97 = 1) AS m_failed FROM lineitem GROUP BY 1),
 outs AS (SELECT o_orderkey AS run_id, CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_custkey % 4000 END AS total, o_orderkey % 40 <> 0 AS ok FROM orders WHERE o_orderkey % 50 <> 3),
-runs AS (SELECT run_id, CAST(CASE WHEN coalesce(total, 0) <> 0 THEN total ELSE coalesce(parts_total, 0) END AS BIGINT) AS tokens, coalesce(n_stations, 0) AS n_stations, coalesce(max_ms, 0) AS ms, ok, total IS NULL AS incomplete FROM parts FULL JOIN outs USING (run_id)),
-b AS (SELECT *, CASE WHEN NOT ok OR ms > 30000 OR tokens > 8000 THEN 'heavy' WHEN n_stations <= 1 AND tokens <= 200 THEN 'trivial' WHEN n_stations <= 3 AND tokens <= 2000 AND ms <= 5000 THEN 'micro_solvable' ELSE 'structured_final' END AS bucket FROM runs WHERE NOT incomplete)"""
+runs AS (SELECT run_id, CAST(CASE WHEN coalesce(total, 0) <> 0 THEN total ELSE coalesce(parts_total, 0) END AS BIGINT) AS tokens, coalesce(n_stations, 0) AS n_stations, coalesce(max_ms, 0) AS ms, ok, total IS NULL AS incomplete, coalesce(m_failed, false) AS m_failed FROM parts FULL JOIN outs USING (run_id)),
+b AS (SELECT *, CASE WHEN m_failed OR NOT ok OR ms > 30000 OR tokens > 8000 THEN 'heavy' WHEN n_stations <= 1 AND tokens <= 500 THEN 'trivial' WHEN n_stations <= 2 AND tokens <= 2000 AND ms <= 5000 THEN 'micro_solvable' ELSE 'structured_final' END AS bucket FROM runs WHERE NOT incomplete)"""
 _FAMILY = "CASE event_type WHEN 'error' THEN 'retrieval' WHEN 'click' THEN 'compression' WHEN 'view' THEN 'compression' ELSE 'other' END"
 _MAIL = "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}"
 
@@ -159,8 +159,8 @@ ORACLES = {
     "tl_rollup": "SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS quantity, CAST(grouping(l_returnflag, l_linestatus) AS BIGINT) AS level FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)",
     "tl_cube": "WITH p AS (SELECT p_type, CASE WHEN p_size < 10 THEN 'A' WHEN p_size < 30 THEN 'B' ELSE 'C' END AS grade FROM part) SELECT p_type, grade, count(*) AS n FROM p GROUP BY CUBE (p_type, grade)",
     "tl_decision": f"""WITH f AS (SELECT {_FAMILY} AS family FROM events WHERE ts >= TIMESTAMP '2024-01-05'),
-t AS (SELECT count(*) AS total, nullif(count(*) FILTER (WHERE family = 'retrieval'), 0) AS retrieval, nullif(count(*) FILTER (WHERE family = 'compression'), 0) AS compression FROM f)
-SELECT *, CASE WHEN coalesce(retrieval, 0) * 2 >= total THEN 'RETRIEVAL' WHEN coalesce(compression, 0) * 2 >= total THEN 'COMPRESSION' ELSE 'NO_DOMINANT_FAMILY' END AS verdict FROM t""",
+t AS (SELECT count(*) AS total, count(*) FILTER (WHERE family = 'retrieval') AS retrieval, count(*) FILTER (WHERE family = 'compression') AS compression FROM f)
+SELECT *, CASE WHEN total < 20 THEN 'UNDERPOWERED' WHEN retrieval > 0 AND retrieval * 2 >= total THEN 'PHASE_4' WHEN compression > 0 AND compression * 2 >= total THEN 'PHASE_5' ELSE 'LINE_HEALTHY' END AS verdict FROM t""",
     "tl_rolling": """SELECT count(*) AS n, round(count(*) / 86400e0, 6) AS rate, round(avg(value), 4) AS mean, round(quantile_cont(value, 0.5) FILTER (WHERE event_type <> 'error'), 2) AS p50,
 round(quantile_cont(value, 0.95) FILTER (WHERE event_type <> 'error'), 2) AS p95, round(avg(CAST(event_type = 'error' AS INTEGER)), 6) AS error_rate FROM events WHERE ts > TIMESTAMP '2024-01-19' AND ts <= TIMESTAMP '2024-01-20'""",
     "tl_rolling_each": "SELECT event_id, (SELECT count(*) FROM events o WHERE o.user_id = e.user_id AND o.ts BETWEEN e.ts - INTERVAL 6 HOUR AND e.ts) AS n FROM events e",

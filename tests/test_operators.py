@@ -62,8 +62,10 @@ def test_nearest_rank(spark):
 
 def test_decision_table(spark):
     f = spark.createDataFrame([("retrieval", 5), ("compression", 5)], "family string, n long")
-    assert telemetry.decision(f, 100).first()["verdict"] == "RETRIEVAL"
-    assert telemetry.decision(f, 3).first()["verdict"] == "UNDERPOWERED"
+    assert telemetry.decision(f, 10).first()["verdict"] == "PHASE_4"
+    assert telemetry.decision(f, 21).first()["verdict"] == "UNDERPOWERED"
+    assert telemetry.decision(f.limit(0)).first()["verdict"] == "UNDERPOWERED"
+    assert telemetry.decision(f.limit(0), 0).first()["verdict"] == "LINE_HEALTHY"
 
 
 def test_policy_fails_closed(spark):
