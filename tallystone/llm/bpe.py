@@ -1,8 +1,8 @@
 """Byte-pair merging over linked bytes, with the ranks of public vocabulary files.
 
 Vocabulary files are parameters, paths that the executors can read; they are loaded once a worker process. Results for
-pre-tokens are remembered per process up to ``CACHE`` entries and then forgotten together, so memory is bounded and
-no result depends on it.
+pre-tokens of up to ``LONGEST`` characters are remembered per process, ``CACHE`` of them, and then forgotten together,
+so memory is bounded and no result depends on it.
 
 Counting (``count_tokens``) follows the merge list of a tokenizer JSON file: a heap holds the rank and position of
 adjacent pairs, a linked list the living symbols, and the count is the initial symbols less the merges. The special
@@ -33,7 +33,8 @@ from pyspark.sql import functions as F
 
 from tallystone.session import share_package
 
-CACHE = 400_000
+CACHE = 200_000
+LONGEST = 48
 #: Public pre-token pattern of the byte-level vocabularies (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -155,9 +156,11 @@ class Counter(dict):
         self.words = regex.compile(PATTERN).findall
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= CACHE:
-            self.clear()
-        n = self[word] = count_merged(word.encode(), self.pairs)
+        n = count_merged(word.encode(), self.pairs)
+        if len(word) <= LONGEST:
+            if len(self) >= CACHE:
+                self.clear()
+            self[word] = n
         return n
 
     def count(self, text: str) -> int:
@@ -179,11 +182,13 @@ class Encoder(dict):
         self.words = regex.compile(PATTERN).findall
 
     def __missing__(self, word: str) -> str:
-        if len(self) >= CACHE:
-            self.clear()
         raw = word.encode()
         found = self.whole.get(raw)
-        ids = self[word] = str(found) if found is not None else " ".join(str(self.ranks[p]) for p in merged_pieces(raw, self.ranks))
+        ids = str(found) if found is not None else " ".join(str(self.ranks[p]) for p in merged_pieces(raw, self.ranks))
+        if len(word) <= LONGEST:
+            if len(self) >= CACHE:
+                self.clear()
+            self[word] = ids
         return ids
 
     def encode(self, text: str) -> str:

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallystone.llm.checkpoints import stored
 from tallystone.llm.columns import numbered, restored
 from tallystone.llm.textbatch import U64, slices, span_hashes, splitmix, text_bytes
 from tallystone.session import share_package
@@ -153,24 +154,24 @@ def item_fingerprints(items: DataFrame, gram: int = GRAM, window: int = WINDOW)
 
 
 def _filter_part(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    """The bytes of a Bloom filter that are not zero, for the prints of one task."""
+    """The 64-bit words of a Bloom filter that are not zero, for the prints of one task."""
     for batch in batches:
         slots = np.concatenate(_bloom_slots(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(U64), bits))
-        places, at = np.unique(slots >> 3, return_inverse=True)
-        values = np.zeros(len(places), np.int32)
-        np.bitwise_or.at(values, at, (1 << (slots & 7)).astype(np.int32))
+        places, at = np.unique(slots >> 6, return_inverse=True)
+        values = np.zeros(len(places), np.int64)
+        np.bitwise_or.at(values, at, np.int64(1) << (slots & 63))
         yield pa.RecordBatch.from_arrays([pa.array(places), pa.array(values)], names=["place", "value"])
 
 
 def bloom_filter(prints: DataFrame, count: int) -> tuple[np.ndarray, int]:
-    """A Bloom filter of the fp column; its size follows ``count`` but never passes FILTER_BITS."""
+    """A Bloom filter of the fp column; its size follows ``count`` but never passes FILTER_BITS, a million words of 64 bits."""
     bits = 1 << 16
     while bits < min(FILTER_BITS, 32 * count):
         bits *= 2
-    parts = prints.select("fp").mapInArrow(lambda b: _filter_part(b, bits), "place long, value int").groupBy("place").agg(F.bit_or("value").alias("value")).toPandas()
-    out = np.zeros(bits // 8, np.uint8)
-    out[parts["place"].to_numpy(np.int64)] = parts["value"].to_numpy(np.uint8)
-    return out, bits
+    parts = prints.select("fp").mapInArrow(lambda b: _filter_part(b, bits), "place long, value long").groupBy("place").agg(F.bit_or("value").alias("value")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[parts.column("place").to_numpy()] = parts.column("value").to_numpy()
+    return out.view(np.uint8), bits
 
 
 def _document_batches(batches: Iterator[pa.RecordBatch], bloom, bits: int, short: list[int], gram: int, window: int) -> Iterator[pa.RecordBatch]:
@@ -224,7 +225,7 @@ def contamination(docs: DataFrame, items: DataFrame, gram: int = GRAM, window: i
     """
     spark = docs.sparkSession
     share_package(spark)
-    prints = item_fingerprints(items, gram, window).persist()
+    prints = stored(item_fingerprints(items, gram, window))
     shape = prints.agg(F.count(F.lit(1)).alias("n"), F.collect_set(F.when(F.col("short"), F.col("len"))).alias("short")).first()
     table, bits = bloom_filter(prints, shape["n"])
     bloom, short = spark.sparkContext.broadcast(table), sorted(shape["short"])
@@ -233,7 +234,8 @@ def contamination(docs: DataFrame, items: DataFrame, gram: int = GRAM, window: i
         F.monotonically_increasing_id().alias("row"), F.col("doc_id"), F.col("text").cast("string").alias("text")
     ).mapInArrow(lambda b: _document_batches(b, bloom, bits, short, gram, window), f"row long, doc_id {kind}, n_words long, grams {_GRAM_TYPE}")
     rows = found.select("row", "doc_id", "n_words", F.explode_outer("grams").alias("g")).select("row", "doc_id", "n_words", "g.*")
-    known = prints.select("item_id", "short", *(F.col(c).alias(f"i_{c}") for c in ("fp", "len", "mid", "before", "after")))
+    # Items that hold a gram in the same surroundings meet documents as one row.
+    known = prints.groupBy("short", *(F.col(c).alias(f"i_{c}") for c in ("fp", "len", "mid", "before", "after"))).agg(F.collect_set(F.col("item_id").cast("string")).alias("ids"))
     on = (F.col("fp") == F.col("i_fp")) & (F.col("len") == F.col("i_len")) & (F.col("mid") == F.col("i_mid"))
     if shape["n"] <= BROADCAST_ROWS:
         joined = rows.join(F.broadcast(known), on, "left")
@@ -246,7 +248,7 @@ def contamination(docs: DataFrame, items: DataFrame, gram: int = GRAM, window: i
     hit = F.col("short") | (F.col("end") - F.col("start") >= window)
     out = spans.groupBy("row", "doc_id", "n_words").agg(
         F.array_sort(F.collect_set(F.when(hit, F.struct("start", "end")))).alias("spans"),
-        F.array_sort(F.collect_set(F.when(hit, F.col("item_id").cast("string")))).alias("items"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.when(hit, F.col("ids")))))).alias("items"),
     )
     return out.withColumn("n_hit", _covered(F.col("spans"))).select(
         "doc_id", "n_words", "n_hit", "spans", "items", ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated")
