@@ -1,8 +1,9 @@
 """Tamper audits of hash-chained logs, Merkle blocks, custody and replay.
 
-Verification is parallel: each line's hash is computed where it stands and only hashes and positions are compared with
-their neighbours, so a chain of any length is checked without being gathered. Building a chain is sequential by
-nature; it folds over each chain's sorted rows and holds no more than the last hash.
+Verification is parallel: each line's hash is computed where it stands and compared with the one before within a
+stretch of ``STRETCH`` positions; the stretches' last rows alone meet across stretches, so one very long chain is
+checked by many tasks. Building a chain is sequential by nature; it folds over each chain's sorted rows and holds no
+more than the last hash. Custody keeps a running holder and is a window over each piece of evidence.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from tallystone.functions.scalars import stable_id
 
 GENESIS = "0" * 64
 BLOCK_RECORDS = 100
+STRETCH = 100_000
 
 
 def build_chain(entries: DataFrame) -> DataFrame:
@@ -43,11 +45,25 @@ def build_chain(entries: DataFrame) -> DataFrame:
     return dealt.mapInPandas(fold, f"chain {kind}, seq long, line string, prev_hash string, hash string")
 
 
+def with_previous(rows: DataFrame, key: str, order: str, *values: str, stretch: int = STRETCH) -> DataFrame:
+    """Rows with ``previous``: a struct of the values of the row before of the same key, null for the first one.
+
+    ``order`` is a number, different for each row of a key.
+    """
+    found = F.struct(*values)
+    cut = rows.withColumn("_stretch", F.floor(F.col(order) / F.lit(stretch)))
+    inner = cut.withColumn("_before", F.lag(found).over(W.partitionBy(key, "_stretch").orderBy(order)))
+    lasts = cut.groupBy(F.col(key).alias("_key"), F.col("_stretch").alias("_at")).agg(F.max_by(found, order).alias("_last"))
+    edges = lasts.withColumn("_edge", F.lag("_last").over(W.partitionBy("_key").orderBy("_at"))).drop("_last")
+    joined = inner.join(edges, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_stretch") == F.col("_at")), "left")
+    return joined.withColumn("previous", F.coalesce("_before", "_edge")).drop("_stretch", "_before", "_key", "_at", "_edge")
+
+
 def verify_chain(lines: DataFrame) -> DataFrame:
     """Lines with ``ok``: whether prev_hash is the hash of the line before, or all zeros for the first."""
     hashed = lines.select("chain", "seq", "prev_hash", F.sha2(F.concat("line", F.lit("\n")), 256).alias("own"))
-    before = F.lag("own", 1, GENESIS).over(W.partitionBy("chain").orderBy("seq"))
-    return hashed.select("chain", "seq", (F.col("prev_hash") == before).alias("ok"))
+    rows = with_previous(hashed, "chain", "seq", "own")
+    return rows.select("chain", "seq", (F.col("prev_hash") == F.coalesce("previous.own", F.lit(GENESIS))).alias("ok"))
 
 
 def first_break(checked: DataFrame) -> DataFrame:
@@ -114,9 +130,64 @@ def block_chain(roots: DataFrame, key: str) -> DataFrame:
 
 def block_faults(blocks: DataFrame, key: str) -> DataFrame:
     """Blocks whose height does not follow on, or whose ``previous`` is not the hash of the block before."""
-    w = W.partitionBy(key).orderBy("block")
-    fault = F.when(F.col("block") != F.lag("block", 1, -1).over(w) + 1, "height_gap").when(F.col("previous") != F.lag("block_hash", 1, GENESIS).over(w), "link_break")
-    return blocks.withColumn("fault", fault).where("fault IS NOT NULL").select(key, "block", "fault")
+    rows = with_previous(blocks.withColumnRenamed("previous", "_stated"), key, "block", "block", "block_hash")
+    height = F.coalesce("previous.block", F.lit(-1)) + 1
+    fault = F.when(F.col("block") != height, "height_gap").when(F.col("_stated") != F.coalesce("previous.block_hash", F.lit(GENESIS)), "link_break")
+    return rows.withColumn("fault", fault).where("fault IS NOT NULL").select(key, "block", "fault")
+
+
+def block_checks(blocks: DataFrame, records: DataFrame, key: str) -> DataFrame:
+    """The first block of each key that fails, with all that is wrong there: link, record count, Merkle root, integrity.
+
+    Blocks state previous, record_count, merkle_root and integrity_hash; records (key, block, slot, h) are what is
+    there. A stated count of 0 is not compared; blocks without records keep to link and count.
+    """
+    there = merkle_roots(records, key, "block").withColumnRenamed("root", "_root")
+    rows = with_previous(blocks.withColumnRenamed("previous", "_stated"), key, "block", "integrity_hash").join(there, [key, "block"], "left")
+    n = F.coalesce("n_records", F.lit(0))
+    problems = F.array(
+        F.when(F.col("_stated") != F.coalesce("previous.integrity_hash", F.lit(GENESIS)), "CHAIN_BREAK"),
+        F.when((F.col("record_count") != n) & (F.col("record_count") != 0), "RECORD_COUNT_MISMATCH"),
+        F.when(F.col("_root") != F.col("merkle_root"), "MERKLE_MISMATCH"),
+        F.when(F.col("_root").isNotNull() & (F.col("integrity_hash") != stable_id(F.col(key), F.col("block"), F.col("_stated"), F.col("_root"), n)), "INTEGRITY_MISMATCH"),
+    )
+    bad = rows.withColumn("problems", F.array_join(F.array_compact(problems), ",")).where("problems <> ''")
+    return bad.groupBy(key).agg(F.min("block").alias("first_block"), F.min_by("problems", "block").alias("problems"))
+
+
+def chain_roots(leaves: DataFrame, key: str, depth: int = 7) -> DataFrame:
+    """key, entries and root of the Merkle tree over all leaves (key, pos from 0, h) of each key, however many.
+
+    Each round folds runs of 2**depth nodes by as many levels as the key's tree has left, so the rounds are the
+    logarithm of the longest chain to that base and no run is longer than 2**depth.
+    """
+    width = 1 << depth
+    nodes = leaves.select(key, "pos", F.sha2(F.concat(F.lit(b"\x00"), F.col("h").cast("binary")), 256).alias("h"))
+    sizes = leaves.groupBy(key).agg(F.count(F.lit(1)).alias("entries")).withColumn("left", F.col("entries"))
+    longest = sizes.agg(F.max("entries")).first()[0] or 0
+
+    def climb(level, last):
+        pairs = F.transform(F.sequence(F.lit(0), F.floor((F.size(level) - 1) / 2).cast("int")), lambda i: _parent(level[i * 2], F.coalesce(F.get(level, i * 2 + 1), level[i * 2])))
+        return F.when(last, level).otherwise(pairs)
+
+    while longest > 1:
+        runs = nodes.groupBy(key, F.floor(F.col("pos") / width).alias("pos")).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col("pos").alias("_p"), "h"))), lambda x: x["h"]).alias("_0"))
+        runs = runs.join(sizes, key)
+        for i in range(depth):
+            # The key's whole level has ceil(left / 2**i) nodes; at one the root is reached.
+            runs = runs.withColumn(f"_{i + 1}", climb(F.col(f"_{i}"), F.ceil(F.col("left") / F.lit(1 << i)) <= 1))
+        nodes = runs.select(key, "pos", F.col(f"_{depth}")[0].alias("h"))
+        sizes = sizes.withColumn("left", F.ceil(F.col("left") / F.lit(width)))
+        longest = -(-longest // width)
+    return nodes.join(sizes, key).select(key, "entries", F.col("h").alias("root"))
+
+
+def witness_checkpoints(entries: DataFrame, key: str, ts_ns: int) -> DataFrame:
+    """For each chain (key, pos, h) a checkpoint: head hash, number of entries, Merkle root over them, id and the hash to sign."""
+    heads = entries.groupBy(key).agg(F.max_by("h", "pos").alias("head"))
+    rows = heads.join(chain_roots(entries, key), key)
+    rows = rows.withColumn("checkpoint_id", stable_id(F.col("head"), F.col("root"), F.lit(ts_ns), length=32))
+    return rows.withColumn("payload_hash", stable_id(F.col("checkpoint_id"), F.col("head"), F.col("entries"), F.col("root"), F.lit(ts_ns)))
 
 
 def quorum(signatures: DataFrame, trusted: DataFrame, k: int) -> DataFrame:

@@ -156,6 +156,12 @@ def gear(rows: DataFrame, key: str, order: str, tick: str, load: str, top: int =
     return fold(rows, key, order, [tick, load], lambda: {"gear": 1, "at": None}, step, "gear int")
 
 
+def top_gear_events(geared: DataFrame, top: int, *facts: str) -> DataFrame:
+    """The samples at which the gear is the top one, each with an instant derived from its facts and gear alone (no clock)."""
+    digest = F.sha2(F.concat_ws("|", *(F.col(c).cast("string") for c in (*facts, "gear"))), 256)
+    return geared.where(F.col("gear") == top).withColumn("event", F.lit("PRESSURE_ENERGY")).withColumn("ts_hex", F.substring(digest, 1, 16))
+
+
 def recent_duplicates(rows: DataFrame, key: str, order: str, print_: str, keep: int) -> DataFrame:
     """``duplicate``: whether the fingerprint is among the last ``keep`` different ones of its key, first in first out. Rows are tagged, not dropped."""
 

@@ -93,3 +93,16 @@ def spans(events: DataFrame, key: str) -> DataFrame:
 def best_timestamp(*candidates: Column) -> Column:
     """The first candidate text that is a timestamp."""
     return F.coalesce(*(F.try_to_timestamp(c) for c in candidates))
+
+
+def instant_anomalies(rows: DataFrame, key: str, ts: str, source: str, now: str) -> DataFrame:
+    """Findings (id, subject, kind, severity, confidence) on one instant of each row: in the future, on a weekend, out of hours."""
+    at = F.col(ts)
+    checks = [
+        ("future_dated", "critical", 0.95, at > F.lit(now).cast("timestamp_ntz")),
+        ("weekend", "medium", 0.7, is_weekend(at)),
+        ("after_hours", "medium", 0.6, is_after_hours(at)),
+    ]
+    found = F.array(*(F.when(test, F.struct(F.lit(kind).alias("kind"), F.lit(severity).alias("severity"), F.lit(sure).alias("confidence"))) for kind, severity, sure, test in checks))
+    rows = rows.select(F.col(key).alias("subject"), F.explode(F.array_compact(found)).alias("f")).select("subject", "f.*")
+    return rows.select(stable_id(F.lit(source), F.col("kind"), F.col("subject"), length=16).alias("anomaly_id"), "subject", "kind", "severity", "confidence")
