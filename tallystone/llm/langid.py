@@ -5,8 +5,10 @@ hashed to ``DIMENSIONS`` features, damped, weighted by inverse document frequenc
 to ``CLUSTERS`` centroids from spherical k-means; the prediction is the language of the centroid of largest cosine. A
 text farther from its language's centroids than ``REJECT`` of that language's training texts is marked rejected.
 
-The classifier is fitted on a bounded sample of labelled rows, ``FIT_ROWS`` a language (in expectation), drawn by a
-hash of doc_id; whole texts are read for fitting and for predicting. Prediction uses the text alone.
+Document frequencies are counted over all labelled rows. The centroids are fitted on a bounded sample of them,
+``FIT_ROWS`` a language (in expectation, equal texts once), drawn by a hash of doc_id and text; each language is
+clustered in a task of its own and only its centroids reach the driver, ``CLUSTERS`` times ``DIMENSIONS`` floats a
+language. Whole texts are read for fitting and for predicting. Prediction uses the text alone.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0; rows with null labels are not learned from;
 with no labelled row at all every text is ``und``; repeated rows each give a row; an empty table gives no rows; other
@@ -61,6 +63,13 @@ def counts_matrix(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+def weighted_vectors(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Damped counts, weighted and of length one."""
+    weighted = np.log1p(counts) * idf
+    norms = np.linalg.norm(weighted, axis=1, keepdims=True)
+    return weighted / np.where(norms > 0, norms, 1)
+
+
 @dataclass
 class Model:
     idf: np.ndarray
@@ -69,14 +78,9 @@ class Model:
     owner: np.ndarray
     reject_below: np.ndarray
 
-    def vectors(self, counts: np.ndarray) -> np.ndarray:
-        weighted = np.log1p(counts) * self.idf
-        norms = np.linalg.norm(weighted, axis=1, keepdims=True)
-        return weighted / np.where(norms > 0, norms, 1)
-
     def predict(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index of the language and cosine, of the nearest centroid."""
-        cosines = self.vectors(counts) @ self.centroids.T
+        cosines = weighted_vectors(counts, self.idf) @ self.centroids.T
         best = cosines.argmax(axis=1)
         return self.owner[best], cosines[np.arange(len(best)), best]
 
@@ -97,7 +101,7 @@ def _spherical_kmeans(vectors: np.ndarray, k: int) -> np.ndarray:
     return centroids[keep] if keep.any() else centroids[[int(sizes.argmax())]]
 
 
-def _sample_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """lang with the text's features, those that occur, as positions and counts."""
     for whole in batches:
         for batch in slices(whole, "text", 500_000):
@@ -109,6 +113,38 @@ def _sample_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             )
 
 
+def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each feature in how many of a task's texts it occurs, and under -1 the number of texts."""
+    held, n = np.zeros(DIMENSIONS, np.int64), 0
+    for whole in batches:
+        for batch in slices(whole, "text", 1_000_000):
+            held += (counts_matrix(*text_bytes(batch.column("text"))) > 0).sum(axis=0)
+            n += batch.num_rows
+    if n:
+        at = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *at], pa.int32()), pa.array([n, *held[at]], pa.int64())], names=["feature", "n"])
+
+
+def _inverse_frequencies(texts: DataFrame) -> np.ndarray:
+    rows = texts.select("text").mapInArrow(_document_frequencies, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()  # DIMENSIONS + 1 rows
+    found = {r["feature"]: r["n"] for r in rows}
+    held = np.array([found.get(i, 0) for i in range(DIMENSIONS)])
+    return (np.log((1 + found[-1]) / (1 + held)) + 1).astype(np.float32)
+
+
+def _clustered(sample: pa.Table, idf: np.ndarray) -> pa.Table:
+    """Centroids of one language's sample, with the cosine below which a text is too far."""
+    counts = np.zeros((sample.num_rows, DIMENSIONS), np.float32)
+    for i, (at, n) in enumerate(zip(sample.column("at").to_pylist(), sample.column("n").to_pylist(), strict=True)):
+        counts[i, at] = n
+    counts = counts[np.lexsort((counts @ np.arange(DIMENSIONS), counts.sum(axis=1)))]  # the same model whatever the rows' order
+    vectors = weighted_vectors(counts, idf)
+    centroids = _spherical_kmeans(vectors, CLUSTERS).astype(np.float32)
+    reject = float(np.quantile((vectors @ centroids.T).max(axis=1), REJECT))
+    lang = sample.column("lang")[0].as_py()
+    return pa.table([pa.array([lang] * len(centroids), pa.string()), pa.array(list(centroids), pa.list_(pa.float32())), pa.array([reject] * len(centroids), pa.float64())], names=["lang", "centroid", "reject"])
+
+
 def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Model | None:
     """A model from doc_id, text and lang; None if no row has both text with a letter and label."""
     share_package(labelled.sparkSession)
@@ -116,26 +152,17 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Model | None:
     totals = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}  # one row a language
     if not totals:
         return None
+    idf = _inverse_frequencies(usable)
     grain = 1 << 30
     share = F.create_map(*(F.lit(x) for lang, n in sorted(totals.items()) for x in (lang, int(min(1.0, fit_rows / n) * grain))))
-    drawn = usable.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(grain)) < share[F.col("lang")])
-    rows = drawn.select("lang", "text").mapInArrow(_sample_batches, "lang string, at array<int>, n array<float>").toArrow()
-    langs = np.array(rows.column("lang").to_pylist())
-    counts = np.zeros((len(langs), DIMENSIONS), np.float32)
-    for i, (at, n) in enumerate(zip(rows.column("at").to_pylist(), rows.column("n").to_pylist(), strict=True)):
-        counts[i, at] = n
-    order = np.lexsort((counts @ np.arange(DIMENSIONS), counts.sum(axis=1), langs))  # the same model whatever the rows' order
-    langs, counts = langs[order], counts[order]
-    idf = (np.log((1 + len(langs)) / (1 + (counts > 0).sum(axis=0))) + 1).astype(np.float32)
-    names = sorted(set(langs.tolist()))
-    model = Model(idf, np.zeros((0, DIMENSIONS), np.float32), names, np.zeros(0, np.int64), np.zeros(len(names)))
-    vectors = model.vectors(counts)
-    for i, name in enumerate(names):
-        centroids = _spherical_kmeans(vectors[langs == name], CLUSTERS)
-        model.centroids = np.concatenate([model.centroids, centroids]).astype(np.float32)
-        model.owner = np.concatenate([model.owner, np.full(len(centroids), i)])
-        model.reject_below[i] = np.quantile((vectors[langs == name] @ centroids.T).max(axis=1), REJECT)
-    return model
+    drawn = usable.select("lang", "text", F.xxhash64("doc_id", "text").alias("draw"), F.xxhash64("text").alias("version")).where(F.pmod("draw", F.lit(grain)) < share[F.col("lang")])
+    sample = drawn.dropDuplicates(["lang", "version"]).select("lang", "text").mapInArrow(_sparse, "lang string, at array<int>, n array<float>")
+    rows = sorted(sample.groupBy("lang").applyInArrow(lambda t: _clustered(t, idf), "lang string, centroid array<float>, reject double").collect(), key=lambda r: (r["lang"], r["centroid"]))
+    names = sorted({r["lang"] for r in rows})
+    if not rows:  # the draw may leave nothing of very few rows
+        return fit(labelled, 10 * fit_rows)
+    centroids = np.array([r["centroid"] for r in rows], np.float32)
+    return Model(idf, centroids, names, np.array([names.index(r["lang"]) for r in rows]), np.array([next(r["reject"] for r in rows if r["lang"] == n) for n in names]))
 
 
 def _predict_batches(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
