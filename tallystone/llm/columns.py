@@ -11,6 +11,6 @@ def numbered(docs: DataFrame, *keep: str) -> DataFrame:
     return docs.toDF(*(c if c in keep else f"column_{i}" for i, c in enumerate(docs.columns)))
 
 
-def restored(rows: DataFrame, docs: DataFrame, *keep: str) -> DataFrame:
-    """The columns of ``docs`` from what ``numbered`` gave, under their own names."""
-    return rows.select(*(F.col(c if c in keep else f"column_{i}").alias(c) for i, c in enumerate(docs.columns)))
+def restored(rows: DataFrame, docs: DataFrame, *keep: str, also: tuple[str, ...] = ()) -> DataFrame:
+    """The columns of ``docs`` from what ``numbered`` gave, under their own names, and those of ``also``."""
+    return rows.select(*(F.col(c if c in keep else f"column_{i}").alias(c) for i, c in enumerate(docs.columns)), *also)

@@ -5,7 +5,7 @@ that ``min_docs`` documents or more hold lose all their lines but those of the l
 
 Keys travel as two 64-bit hashes with different seeds, with the document and the line's position. They are dealt by
 ranges of the hash and a salt from the document, so the rows of one very common line go to many tasks; each task
-streams them in order of document. Of each salt only the rows of its three largest documents go on to a second pass
+streams them in order of document. A hash is uniform, so the ranges are equal cuts of it and need no sampling. Of each salt only the rows of its three largest documents go on to a second pass
 by hash alone, the others are known to be dropped. What comes back per document is a sparse bitmap: 64 lines a word,
 and words in which every line stays are absent.
 
@@ -25,6 +25,8 @@ from tallystone.llm.columns import numbered, restored
 MIN_CHARS = 20
 MIN_DOCS = 3
 SALTS = 32
+#: The hashes' range is cut in so many equal parts (a power of two); tasks take parts by number.
+RANGE_BITS = 20
 
 _WHITE = " \t\n\x0b\x0c\r"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -51,16 +53,15 @@ def line_keys(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """doc_id, version and keep_words (word number -> 64 keep bits) of the documents that lose lines."""
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = line_keys(docs, min_chars).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    within = W.partitionBy("h1", "h2", "salt").orderBy(F.col("doc_id").desc())
-    first = keys.repartitionByRange(parts, "h1", "salt").withColumn("nth", F.dense_rank().over(within))
-    over = W.partitionBy("h1", "h2")
+    keys = line_keys(docs, min_chars).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).withColumn("range", F.shiftright("h1", 64 - RANGE_BITS))
+    within = W.partitionBy("range", "salt", "h1", "h2").orderBy(F.col("doc_id").desc())
+    first = keys.repartition("range", "salt").withColumn("nth", F.dense_rank().over(within))
+    over = W.partitionBy("range", "h1", "h2")
     # Every row of the first pass is kept or dropped at once: past min_docs larger documents there is nothing to learn.
     known = first.where(F.col("nth") > min_docs).select("doc_id", "version", "line")
     second = (
         first.where(F.col("nth") <= min_docs)
-        .repartitionByRange(parts, "h1")
+        .repartition("range")
         .withColumn("nth", F.dense_rank().over(over.orderBy(F.col("doc_id").desc())))
         .withColumn("documents", F.max("nth").over(over))
         .where((F.col("nth") > 1) & (F.col("documents") >= min_docs))
@@ -75,18 +76,25 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
 
 
 def with_kept_text(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """All columns of ``docs`` plus the structs' fields ``_lines`` (before dropping), ``_dropped`` and ``_kept`` (text)."""
-    return _joined(docs, keep_bitmaps(docs.select("doc_id", "text"), min_chars, min_docs))
+    """All columns of ``docs`` plus ``_lines`` (before dropping), ``_dropped`` and ``_kept`` (text), in place of any so named."""
+    added = ("_lines", "_dropped", "_kept")
+    rest = docs.drop(*added)
+    done = _joined(numbered(rest, "doc_id", "text"), keep_bitmaps(docs.select("doc_id", "text"), min_chars, min_docs))
+    return restored(done, rest, "doc_id", "text", also=added)
 
 
 def _joined(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    """``docs``, whose columns but doc_id and text are numbered, with ``_lines``, ``_dropped`` and ``_kept``."""
     marks = bitmaps.select(F.col("doc_id").alias("_doc"), F.col("version").alias("_version"), F.col("keep_words").alias("_words"))
     joined = docs.join(marks, (docs["doc_id"] == F.col("_doc")) & (F.xxhash64(docs["text"]) == F.col("_version")), "left")
     lines = _lines(docs["text"])
-    stays = F.filter(
-        lines, lambda _, i: F.col("_words")[F.floor(i / 64).cast("int")].isNull() | F.getbit(F.col("_words")[F.floor(i / 64).cast("int")], F.pmod(i, F.lit(64))).eqNullSafe(1)
-    )
-    kept = F.when(F.col("_words").isNull(), lines).otherwise(stays)
+    # The map of words as an array, which finds a line's word at once.
+    words = F.transform(F.sequence(F.lit(0), F.array_max(F.map_keys("_words"))), lambda i: F.col("_words")[i])
+
+    def stays(dense: Column) -> Column:
+        return F.filter(lines, lambda _, i: F.getbit(F.coalesce(F.get(dense, F.floor(i / 64).cast("int")), F.lit(-1).cast("long")), F.pmod(i, F.lit(64))) == 1)
+
+    kept = F.when(F.col("_words").isNull(), lines).otherwise(F.transform(F.array(words), stays)[0])
     return (
         joined.withColumn("_kept_lines", kept)
         .withColumn("_lines", F.size(lines).cast("long"))

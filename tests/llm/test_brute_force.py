@@ -267,6 +267,28 @@ def test_contamination_of_odd_texts(spark, docs_of):
     assert decontaminate.contamination(docs_of(["a b"]), items.limit(0)).first()["n_hit"] == 0
 
 
+def test_both_ways_to_meet_items_agree(spark, docs_of, monkeypatch):
+    """Broadcast and salted items give the same rows, items that share a passage included."""
+    words = [f"w{i}" for i in range(60)]
+    items = spark.createDataFrame([(i, " ".join(words[i : i + 30])) for i in range(12)] + [(100 + i, " ".join(words[:20])) for i in range(9)], "item_id long, text string")
+    docs = docs_of([" ".join(["x"] * 5 + words[i : i + 25] + ["y"] * i) for i in range(25)] + ODD)
+    rows = lambda: sorted((r["doc_id"], r["n_hit"], tuple(r["items"]), r["contaminated"]) for r in decontaminate.contamination(docs, items).collect())
+    one = rows()
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    assert rows() == one and one[0][2][:2] == ("0", "1") and {"100", "108"} <= {*one[0][2]}
+    windows = {i: {tuple(words[a : a + 13]) for a in range(i, i + 18)} for i in range(12)} | {100 + i: {tuple(words[a : a + 13]) for a in range(8)} for i in range(9)}
+    for d in range(25):
+        held = {tuple(words[a : a + 13]) for a in range(d, d + 13)}
+        assert one[d][2] == tuple(sorted(str(i) for i, w in windows.items() if w & held))
+
+
+def test_empty_tables(spark, docs_of):
+    path = public_tokenizers.path
+    none = docs_of([])
+    assert bpe.count_tokens(none, path("byte_bpe_50k.json")).count() == bpe.encode_texts(none, path("byte_bpe_50k.tiktoken")).count() == pii.find_personal_data(none).count() == 0
+    assert langid.predict(none, langid.fit(none), "doc_id").count() == 0
+
+
 def test_lines_of_odd_texts(spark, docs_of):
     line = "A line that many documents hold"
     texts = [*ODD, f"one\n{line}\ntwo", f"\t{line.upper()} \nthree", f"{line}\n{line}", line, None]
@@ -276,6 +298,16 @@ def test_lines_of_odd_texts(spark, docs_of):
     assert all(rows[i] == t for i, t in enumerate(ODD))
 
 
+def test_kept_text_beside_clashing_columns(spark, docs_of):
+    line = "A line that many documents hold"
+    texts = [f"x\n{line}", f"{line}\ny", line, "\n".join([f"own line {i} of a long text" for i in range(5000)] + [line])]
+    rows = docs_of(texts, True).selectExpr("*", "1 AS _kept", "2 AS _words", "3 AS _dropped", "4 AS _version", "5 AS range", "6 AS column_0")
+    got = {r["doc_id"]: r for r in linededup.with_kept_text(rows).collect()}
+    assert [(got[i]["_lines"], got[i]["_dropped"]) for i in range(4)] == [(2, 1), (2, 1), (1, 1), (5001, 0)]
+    assert got[0]["_kept"] == "x" and got[2]["_kept"] == "" and got[3]["_kept"] == texts[3] and got[1]["_words"] == 2 and got[1]["column_0"] == 6
+    assert linededup.with_kept_text(docs_of([])).count() == 0 and linededup.drop_repeated_lines(docs_of([])).count() == 0
+
+
 def test_near_copies_of_odd_texts(spark, docs_of):
     got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs_of(ODD, True)).collect()}
     assert [got[i] for i in range(4)] == [0, 0, 0, 0] and got[9] == got[8]
