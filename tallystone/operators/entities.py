@@ -7,6 +7,8 @@ already skip the Arrow function that others pass through. Word lists and pattern
 from __future__ import annotations
 
 import unicodedata
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -108,16 +110,25 @@ def text_stats(docs: DataFrame, id_column: str, text: str) -> DataFrame:
     return docs.select(id_column, F.length(t).alias("chars"), words.alias("words"), (F.regexp_count(t, F.lit("\n")) + 1).alias("lines"))
 
 
-def classify_actor(rows: DataFrame, known: DataFrame, domains: DataFrame) -> DataFrame:
-    """The actor of each row by the first rule that knows: its address, its address's domain, the file name, unknown.
+def classify_actor(rows: DataFrame, known: DataFrame, domains: DataFrame, personal: list[str], names: list[tuple[str, list[str]]], claimant: str = "claimant") -> DataFrame:
+    """The actor of each row (address, filename, path, modality) by the first rule that knows.
 
-    ``known`` (address, actor) and ``domains`` (domain, actor) are joined by key; Spark broadcasts them while small.
+    A row with an address goes by it alone: a known address, a personal domain (the claimant), an institution's domain,
+    else an actor of its own. The others go by parts of the file name (``names``: actor and parts, in order), by the
+    claimant's parts in the path, by being an image or a recording (the claimant), else they are unknown. ``known``
+    (address, actor) and ``domains`` (domain, actor) are joined by key; Spark broadcasts them while small.
     """
-    out = rows.withColumn("_domain", F.element_at(F.split("address", "@"), -1))
-    out = out.join(known.select(F.col("address").alias("_a"), F.col("actor").alias("_known")), F.col("address") == F.col("_a"), "left")
+    address = F.lower(F.btrim("address"))
+    out = rows.withColumn("_address", address).withColumn("_domain", F.when(address.contains("@"), F.element_at(F.split(address, "@"), -1)).otherwise(""))
+    out = out.join(known.select(F.col("address").alias("_a"), F.col("actor").alias("_known")), F.col("_address") == F.col("_a"), "left")
     out = out.join(domains.select(F.col("domain").alias("_d"), F.col("actor").alias("_by_domain")), F.col("_domain") == F.col("_d"), "left")
-    by_name = F.when(F.col("filename").contains("court"), "court").when(F.col("filename").contains("invoice"), "supplier")
-    return out.withColumn("actor", F.coalesce("_known", "_by_domain", by_name, F.lit("unknown"))).drop("_domain", "_a", "_known", "_d", "_by_domain")
+    own = F.concat(F.lit("email:"), F.regexp_replace(F.substring_index("_address", "@", 1), r"[^\p{L}\p{N}]", "_"), F.lit("_"), F.replace(F.col("_domain"), F.lit("."), F.lit("_")))
+    by_address = F.coalesce("_known", F.when(F.col("_domain").isin(personal), claimant), "_by_domain", own)
+    has = lambda column, parts: reduce(or_, (F.lower(column).contains(p) for p in parts), F.lit(False))
+    by_name = F.coalesce(*(F.when(has("filename", parts), actor) for actor, parts in names), F.lit(None).cast("string"))
+    by_path = F.when(has("path", next((parts for actor, parts in names if actor == claimant), [])), claimant)
+    rest = F.coalesce(by_name, by_path, F.when(F.col("modality").isin("image", "recording"), claimant), F.lit("unknown"))
+    return out.withColumn("actor", F.when(F.coalesce("_address", F.lit("")) != "", by_address).otherwise(rest)).drop("_address", "_domain", "_a", "_known", "_d", "_by_domain")
 
 
 def duplicates_of_first(rows: DataFrame, content: str, order: str) -> DataFrame:

@@ -75,9 +75,10 @@ def has_role(roles: Column, role: str) -> Column:
     return F.array_contains(F.from_json(roles, "array<string>"), role)
 
 
-def next_version(table: DataFrame, key: str, version: str) -> DataFrame:
-    """The next free version of every key, 1 where none is known."""
-    return table.groupBy(key).agg((F.coalesce(F.max(version), F.lit(0)) + 1).alias("next_version"))
+def next_version(cases: DataFrame, table: DataFrame, key: str, version: str) -> DataFrame:
+    """For each case the least next version that the table holds for it, 1 where it holds none."""
+    first = table.groupBy(key).agg(F.min(version).alias("_first"))
+    return cases.select(key).distinct().join(first, key, "left").select(key, F.coalesce("_first", F.lit(1)).alias("next_version"))
 
 
 def version_gaps(table: DataFrame, key: str, version: str) -> DataFrame:

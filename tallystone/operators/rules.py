@@ -2,6 +2,8 @@
 
 Conditions are nested dicts: {"all": [...]}, {"any": [...]}, {"not": ...} or {"field", "op", "value"}. A field that a
 row lacks (null) makes the condition an error, which denies; ``condition`` gives the value and ``missing`` the error.
+Types are strict where the rows' schema is given: values of different kinds (boolean, number, text, list) are unequal,
+and to order them, to search in them or to match them is an error.
 """
 
 from __future__ import annotations
@@ -12,6 +14,9 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, NumericType, StringType, StructType
+
+from tallystone.operators.chains import with_previous
 
 OPS = {
     "eq": lambda a, b: a.eqNullSafe(b),
@@ -27,29 +32,71 @@ OPS = {
 VERDICTS = ["deny", "escalate", "allow"]
 
 
-def condition(spec: dict) -> Column:
+def _kind(value) -> str:
+    """Kind of a literal: boolean, number, text or list."""
+    return "boolean" if isinstance(value, bool) else "number" if isinstance(value, (int, float)) else "text" if isinstance(value, str) else "list"
+
+
+def _column_kind(path: str, schema: StructType) -> str | None:
+    """Kind of a field by its dotted path, null if the rows have no such field."""
+    kind = schema
+    for part in path.split("."):
+        if not isinstance(kind, StructType) or part not in kind.names:
+            return None
+        kind = kind[part].dataType
+    return "boolean" if isinstance(kind, BooleanType) else "number" if isinstance(kind, NumericType) else "text" if isinstance(kind, StringType) else "list" if isinstance(kind, ArrayType) else "other"
+
+
+def _parts(spec: dict) -> list[dict] | None:
+    return spec.get("all", spec.get("any", [spec["not"]] if "not" in spec else None)) if "field" not in spec else None
+
+
+def condition(spec: dict, schema: StructType | None = None) -> Column:
     """The condition's value; raises ValueError for what it does not know."""
     if len(spec) == 1 and "all" in spec:
-        return reduce(and_, map(condition, spec["all"]), F.lit(True))
+        return reduce(and_, (condition(s, schema) for s in spec["all"]), F.lit(True))
     if len(spec) == 1 and "any" in spec:
-        return reduce(or_, map(condition, spec["any"]), F.lit(False))
+        return reduce(or_, (condition(s, schema) for s in spec["any"]), F.lit(False))
     if len(spec) == 1 and "not" in spec:
-        return ~condition(spec["not"])
+        return ~condition(spec["not"], schema)
     if set(spec) != {"field", "op", "value"} or spec["op"] not in OPS:
         raise ValueError(f"not a condition: {spec}")
-    return OPS[spec["op"]](F.col(spec["field"]), spec["value"])
-
-
-def _fields(spec: dict) -> set[str]:
-    if "field" in spec:
-        return {spec["field"]}
-    parts = spec.get("all", spec.get("any", [spec["not"]] if "not" in spec else []))
-    return set().union(*map(_fields, parts)) if parts else set()
-
-
-def missing(spec: dict) -> Column:
-    """Whether a field that the condition reads is absent."""
-    return reduce(or_, (F.col(f).isNull() for f in sorted(_fields(spec))), F.lit(False))
+    op, value = spec["op"], spec["value"]
+    if schema is not None:
+        kind = _column_kind(spec["field"], schema)
+        if kind is None or _mistyped(spec, schema):
+            return F.lit(False)
+        if op in ("eq", "ne") and kind != _kind(value):
+            return F.lit(op == "ne")
+        if op == "in":
+            value = [v for v in value if _kind(v) == kind]
+            if not value:
+                return F.lit(False)
+        if op == "contains" and kind == "list":
+            return F.array_contains(spec["field"], value)
+    return OPS[op](F.col(spec["field"]), value)
+
+
+def _mistyped(spec: dict, schema: StructType) -> bool:
+    """Whether an operator is asked of a kind of value that it doesn't take."""
+    kind, wanted, op = _column_kind(spec["field"], schema), _kind(spec["value"]), spec["op"]
+    if op in ("gt", "ge", "lt", "le"):
+        return kind not in ("number", "text") or kind != wanted
+    if op == "in":
+        return wanted != "list"
+    if op == "contains":
+        return kind != "list" and not (kind == wanted == "text")
+    return op == "matches" and not (kind == wanted == "text")
+
+
+def missing(spec: dict, schema: StructType | None = None) -> Column:
+    """Whether the condition is an error: a field that it reads is absent, or an operator doesn't take its kind of value."""
+    parts = _parts(spec)
+    if parts is not None:
+        return reduce(or_, (missing(s, schema) for s in parts), F.lit(False))
+    if schema is not None and (_column_kind(spec["field"], schema) is None or _mistyped(spec, schema)):
+        return F.lit(True)
+    return F.col(spec["field"]).isNull()
 
 
 def check_rules(rules: list[dict]) -> None:
@@ -66,14 +113,15 @@ def check_rules(rules: list[dict]) -> None:
 def verdicts(rows: DataFrame, rules: list[dict]) -> DataFrame:
     """Rows with verdict and reason: deny before escalate before allow, the first rule among equals; no match denies.
 
-    The rules are columns of one projection, so a policy adds no join and no shuffle.
+    The rules are columns of one projection, so a policy adds no join and no shuffle. Errors (an absent field, a value of
+    another kind) deny.
     """
     check_rules(rules)
     fired = []
     for i, r in enumerate(rules):
-        lacks = missing(r["when"])
+        lacks = missing(r["when"], rows.schema)
         hit = F.when(lacks, F.struct(F.lit(0).alias("rank"), F.lit(i).alias("pos"), F.lit(f"{r['id']}:missing_field").alias("reason")))
-        fired.append(hit.when(condition(r["when"]), F.struct(F.lit(VERDICTS.index(r["verdict"])).alias("rank"), F.lit(i).alias("pos"), F.lit(r["id"]).alias("reason"))))
+        fired.append(hit.when(condition(r["when"], rows.schema), F.struct(F.lit(VERDICTS.index(r["verdict"])).alias("rank"), F.lit(i).alias("pos"), F.lit(r["id"]).alias("reason"))))
     best = F.array_min(F.array_compact(F.array(*fired)))
     names = F.array(*map(F.lit, VERDICTS))
     return rows.withColumn("_best", best).withColumn("verdict", F.coalesce(F.get(names, F.col("_best.rank")), F.lit("deny"))).withColumn("reason", F.coalesce("_best.reason", F.lit("no_match"))).drop("_best")
@@ -125,9 +173,9 @@ def vector_order(a: Column, b: Column) -> Column:
 
 
 def monotonic_faults(rows: DataFrame, key: str, order: str, version: str) -> DataFrame:
-    """Rows whose version is not above the one before, the first one's bound being 0."""
-    before = F.lag(version, 1, 0).over(W.partitionBy(key).orderBy(order))
-    return rows.withColumn("before", before).where(F.col(version) <= F.col("before"))
+    """Rows whose version is not above the one before, the first one's bound being 0; compared in stretches of ``order``."""
+    found = with_previous(rows, key, order, version)
+    return found.withColumn("before", F.coalesce(f"previous.{version}", F.lit(0))).drop("previous").where(F.col(version) <= F.col("before"))
 
 
 def overlaps(agents: DataFrame) -> DataFrame:

@@ -64,11 +64,16 @@ def en_drop_instructions(spark, sf_dir):
 
 
 def en_actor(spark, sf_dir):
-    c = table(spark, sf_dir, "customer")
-    rows = c.select("c_custkey", F.concat(F.lower("c_mktsegment"), F.lit("@n"), "c_nationkey", F.lit(".example")).alias("address"), F.when(F.col("c_custkey") % 4 == 0, "court-order.pdf").otherwise("note.txt").alias("filename"))
-    known = spark.createDataFrame([("building@n3.example", "builder"), ("machinery@n4.example", "maker")], "address string, actor string")
+    k = F.col("c_custkey")
+    rows = table(spark, sf_dir, "customer").select(
+        "c_custkey", F.when(k % 3 != 0, F.concat("c_mktsegment", F.lit("+1@N"), "c_nationkey", F.lit(".example"))).when(k % 6 == 0, "").alias("address"),
+        F.when(k % 5 == 0, "Policy-claim.pdf").when(k % 5 == 1, "My-notes.txt").when(k % 5 == 2, "Grievance.doc").otherwise("note.txt").alias("filename"),
+        F.when(k % 7 == 0, "/in/My-notes/x").otherwise("/in/x").alias("path"), F.when(k % 4 == 0, "image").otherwise("document").alias("modality"),
+    )
+    known = spark.createDataFrame([("building+1@n3.example", "builder"), ("machinery+1@n4.example", "maker")], "address string, actor string")
     domains = table(spark, sf_dir, "nation").where("n_nationkey < 8").select(F.concat(F.lit("n"), "n_nationkey", F.lit(".example")).alias("domain"), F.lower("n_name").alias("actor"))
-    return op.classify_actor(rows, known, domains).select("c_custkey", "actor")
+    names = [("claimant", ["my-notes"]), ("insurer", ["policy"]), ("union", ["grievance"])]
+    return op.classify_actor(rows, known, domains, ["n5.example", "n9.example"], names).select("c_custkey", "actor")
 
 
 def en_override(spark, sf_dir):
@@ -105,8 +110,9 @@ SELECT entity_id, arg_min(display, event_id) AS display, min(ts) AS first_seen,
     "en_redact": f"SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '{op.PATTERNS['email']}', '[email]', 'g'), '{op.PATTERNS['ssn']}', '[ssn]', 'g'), '{op.PATTERNS['phone']}', '[phone]', 'g')) AS digest FROM documents",
     "en_text_stats": "SELECT doc_id, length(coalesce(text, '')) AS chars, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\r]+'), lambda w: w <> '')) AS words, length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) + 1 AS lines FROM documents",
     "en_drop_instructions": "SELECT conv_id, turn, length(text) AS n FROM conversations",
-    "en_actor": """SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' AND c_nationkey = 3 THEN 'builder' WHEN c_mktsegment = 'MACHINERY' AND c_nationkey = 4 THEN 'maker'
-WHEN c_nationkey < 8 THEN lower(n_name) WHEN c_custkey % 4 = 0 THEN 'court' ELSE 'unknown' END AS actor FROM customer JOIN nation ON c_nationkey = n_nationkey""",
+    "en_actor": """SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 THEN CASE WHEN c_mktsegment = 'BUILDING' AND c_nationkey = 3 THEN 'builder' WHEN c_mktsegment = 'MACHINERY' AND c_nationkey = 4 THEN 'maker'
+WHEN c_nationkey IN (5, 9) THEN 'claimant' WHEN c_nationkey < 8 THEN lower(n_name) ELSE 'email:' || lower(c_mktsegment) || '_1_n' || c_nationkey || '_example' END
+WHEN c_custkey % 5 = 1 THEN 'claimant' WHEN c_custkey % 5 = 0 THEN 'insurer' WHEN c_custkey % 5 = 2 THEN 'union' WHEN c_custkey % 7 = 0 OR c_custkey % 4 = 0 THEN 'claimant' ELSE 'unknown' END AS actor FROM customer JOIN nation ON c_nationkey = n_nationkey""",
     "en_override": "SELECT event_id, CASE WHEN event_id % 10 = 0 THEN 'patched' ELSE event_type END AS event_type FROM events",
     "en_duplicates": "SELECT d.doc_id, f.first, sha256(d.text) AS sha FROM documents d JOIN (SELECT text, min(doc_id) AS first FROM documents GROUP BY text) f ON d.text = f.text WHERE d.doc_id > f.first",
     "en_hops": "SELECT event_id, 'a' || user_id || '.example>mx-' || event_type AS hops FROM events",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallystone.operators import rules as op
@@ -17,7 +18,8 @@ KEYWORDS = {"licence": ["license", "copyright"], "article": ["the "], "mail": ["
 
 
 def ru_dsl(spark, sf_dir):
-    return table(spark, sf_dir, "events").where(op.condition(POLICY[2]["when"])).select("event_id")
+    e = table(spark, sf_dir, "events")
+    return e.where(op.condition(POLICY[2]["when"], e.schema)).select("event_id")
 
 
 def ru_verdict(spark, sf_dir):
@@ -73,9 +75,27 @@ def ru_monotonic(spark, sf_dir):
 
 
 def ru_causality(spark, sf_dir):
-    """Per trace its length and whether each id follows its predecessor by time."""
+    """Each event of a trace with its place by time, its predecessor and whether its id follows that one's."""
     e = table(spark, sf_dir, "events").withColumn("trace", F.col("event_id") % 500)
-    return e.groupBy("trace").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("root"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id"))), lambda x: x["event_id"].cast("string")), ">").alias("chain"))
+    w = W.partitionBy("trace").orderBy("ts", "event_id")
+    out = e.select("trace", "event_id", F.row_number().over(w).alias("place"), F.lag("event_id").over(w).alias("predecessor"))
+    return out.withColumn("follows", F.coalesce(F.col("event_id") > F.col("predecessor"), F.lit(True)))
+
+
+def ru_strict(spark, sf_dir):
+    """Verdicts by rules of which some compare values of different kinds."""
+    rules = [
+        {"id": "text_is_number", "verdict": "allow", "when": {"field": "event_type", "op": "eq", "value": 1}},
+        {"id": "number_is_not_text", "verdict": "escalate", "when": {"all": [{"field": "value", "op": "ne", "value": "x"}, {"field": "user_id", "op": "in", "value": [3, "4", True, 5]}]}},
+        {"id": "order_of_kinds", "verdict": "allow", "when": {"any": [{"field": "event_id", "op": "ge", "value": 5}, {"field": "flag", "op": "eq", "value": True}]}},
+        {"id": "number_before_text", "verdict": "allow", "when": {"field": "kind", "op": "gt", "value": 7}},
+        {"id": "no_such_field", "verdict": "allow", "when": {"not": {"field": "kind.inner", "op": "eq", "value": "a"}}},
+    ]
+    e = table(spark, sf_dir, "events").withColumn("flag", F.col("event_id") % 2 == 0).withColumn("kind", F.col("event_type"))
+    first = op.verdicts(e, rules[:3]).select("event_id", "verdict", "reason")
+    return first.unionByName(op.verdicts(e.where("event_id % 100 = 0"), [rules[2], rules[3]]).select(-F.col("event_id") - 1, "verdict", "reason").toDF("event_id", "verdict", "reason")).unionByName(
+        op.verdicts(e.where("event_id % 100 = 1"), [rules[4]]).select(-F.col("event_id") - 1, "verdict", "reason").toDF("event_id", "verdict", "reason")
+    )
 
 
 def ru_overlap(spark, sf_dir):
@@ -108,7 +128,7 @@ _MATCHES = "m AS (SELECT doc_id, unnest(list_filter([CASE WHEN contains(lower(te
 _GREATEST = "greatest(event_id % 4, event_id % 5)"
 
 QUERIES = {f.__name__: f for f in (
-    ru_dsl, ru_verdict, ru_keyword, ru_node_conf, ru_conflict, ru_collapse, ru_guard, ru_vector_merge, ru_vector_order, ru_monotonic, ru_causality, ru_overlap, ru_forks, ru_quality, ru_gate, ru_neighbours,
+    ru_dsl, ru_verdict, ru_keyword, ru_node_conf, ru_conflict, ru_collapse, ru_guard, ru_vector_merge, ru_vector_order, ru_monotonic, ru_causality, ru_strict, ru_overlap, ru_forks, ru_quality, ru_gate, ru_neighbours,
 )}
 
 ORACLES = {
@@ -127,7 +147,10 @@ SELECT rule, facts, round_even(c, 4) AS confidence, CASE WHEN round_even(c, 4) <
     "ru_vector_order": """WITH k AS (SELECT event_id, event_id % 3 <= 0 AND event_id % 4 <= event_id % 5 AS le, event_id % 4 >= event_id % 5 AND 0 >= event_id % 2 AS ge FROM events)
 SELECT event_id, CASE WHEN le AND ge THEN 'equal' WHEN le THEN 'before' WHEN ge THEN 'after' ELSE 'concurrent' END AS relation FROM k""",
     "ru_monotonic": "WITH l AS (SELECT event_id, event_id % 11 AS version, coalesce(lag(event_id % 11) OVER (PARTITION BY user_id ORDER BY event_id), 0) AS before FROM events) FROM l WHERE version <= before",
-    "ru_causality": "SELECT event_id % 500 AS trace, count(*) AS n, min(event_id) AS root, string_agg(event_id, '>' ORDER BY ts, event_id) AS chain FROM events GROUP BY 1",
+    "ru_causality": """WITH e AS (SELECT event_id % 500 AS trace, event_id, row_number() OVER w AS place, lag(event_id) OVER w AS predecessor FROM events WINDOW w AS (PARTITION BY event_id % 500 ORDER BY ts, event_id))
+SELECT *, coalesce(event_id > predecessor, true) AS follows FROM e""",
+    "ru_strict": """SELECT event_id, CASE WHEN user_id IN (3, 5) THEN 'escalate' WHEN event_id >= 5 OR event_id % 2 = 0 THEN 'allow' ELSE 'deny' END AS verdict, CASE WHEN user_id IN (3, 5) THEN 'number_is_not_text' WHEN event_id >= 5 OR event_id % 2 = 0 THEN 'order_of_kinds' ELSE 'no_match' END AS reason FROM events
+UNION ALL SELECT -event_id - 1, 'deny', 'number_before_text:missing_field' FROM events WHERE event_id % 100 = 0 UNION ALL SELECT -event_id - 1, 'deny', 'no_such_field:missing_field' FROM events WHERE event_id % 100 = 1""",
     "ru_overlap": """WITH s AS (SELECT DISTINCT n_name AS agent, unnest([n_nationkey % 4, n_nationkey % 6 + 2]) AS scope FROM nation)
 SELECT x.agent AS a, y.agent AS b, string_agg(CAST(x.scope AS VARCHAR), ',' ORDER BY CAST(x.scope AS VARCHAR)) AS shared FROM s x JOIN s y ON x.scope = y.scope AND x.agent < y.agent GROUP BY ALL""",
     "ru_forks": "SELECT array_to_string(list_sort([CAST(event_id % 90 AS VARCHAR), CAST(user_id % 30 AS VARCHAR)]), ',') AS deps, count(*) AS decisions, min(event_id) AS first FROM events GROUP BY 1 HAVING count(*) > 1",
