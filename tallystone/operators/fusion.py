@@ -215,6 +215,11 @@ def synthesis(old: DataFrame, new: DataFrame) -> DataFrame:
     )
 
 
+def synthesis_summary(rows: DataFrame) -> DataFrame:
+    """One row on the streams of the newest version: how many are accepted, and the highest (least) and lowest tier scored."""
+    return rows.agg(F.count_if(F.col("composite") >= MIN_CONFIDENCE).alias("streams_used"), F.min("source_tier").alias("highest_tier"), F.max("source_tier").alias("lowest_tier"))
+
+
 def feedback_streams(feedback: DataFrame) -> DataFrame:
     """Reviewers' feedback (case_id, author, verdict, comment, ts) as streams with derived id and hash."""
     body = F.coalesce(F.col("comment"), F.lit(""))

@@ -1,7 +1,8 @@
 """Telemetry reports: runs, buckets, nearest-rank percentiles, rollups, decisions and comparisons.
 
-Everything is grouped aggregation over explicit keys. Exact percentiles of a group use counted distinct values
-(``exact_ranks``), which combines before the shuffle and never gathers a group's rows.
+Everything is grouped aggregation over explicit keys. Exact percentiles of a group use counted distinct values, which
+combines before the shuffle: ``exact_ranks`` then orders a group's different values in one task each, and Spark's own
+percentile keeps their counts.
 """
 
 from __future__ import annotations
@@ -101,12 +102,22 @@ def trailing(samples: DataFrame, now: str, seconds: int) -> DataFrame:
     return samples.where((F.col("ts") > F.lit(now).cast("timestamp_ntz") - F.expr(f"INTERVAL {seconds} SECOND")) & (F.col("ts") <= F.lit(now).cast("timestamp_ntz")))
 
 
+def latest_signals(signals: DataFrame, key: str, node: str, ts: str, value: str, now: str, ttl_s: int) -> DataFrame:
+    """key, node and value of each node's latest signal, if it is not older than the time to live."""
+    last = signals.groupBy(key, node).agg(F.max(F.struct(ts, value)).alias("_last"))
+    age = F.lit(now).cast("timestamp_ntz").cast("timestamp").cast("double") - F.col(f"_last.{ts}").cast("timestamp").cast("double")
+    return last.where(age <= ttl_s).select(key, node, F.col(f"_last.{value}").alias(value))
+
+
 def trimmed_median(values: DataFrame, key: str, value: str, z: float) -> DataFrame:
-    """Median of each key's values within z sample deviations of its median. The statistics are aggregates joined back,
-    so a key with very many values is not gathered."""
+    """Median of each key's values within z sample deviations of its median, of all of them if none is.
+
+    The statistics are aggregates joined back; exact percentiles keep the counts of a key's different values.
+    """
     stats = values.groupBy(key).agg(F.percentile(value, 0.5).alias("_m"), F.stddev_samp(value).alias("_s"))
-    kept = values.join(stats, key).where(F.col("_s").isNull() | (F.col("_s") == 0) | (F.abs(F.col(value) - F.col("_m")) <= z * F.col("_s")))
-    return kept.groupBy(key).agg(F.percentile(value, 0.5).alias("median"), F.count(F.lit(1)).alias("n"))
+    near = F.col("_s").isNull() | (F.col("_s") == 0) | (F.abs(F.col(value) - F.col("_m")) <= z * F.col("_s"))
+    out = values.join(stats, key).groupBy(key).agg(F.percentile(F.when(near, F.col(value)), 0.5).alias("_near"), F.count_if(near).alias("_n"), F.percentile(value, 0.5).alias("_all"), F.count(value).alias("_rows"))
+    return out.select(key, F.coalesce("_near", "_all").alias("median"), F.when(F.col("_n") > 0, F.col("_n")).otherwise(F.col("_rows")).alias("n"))
 
 
 def before_after(rows: DataFrame, key: str, phase: str, value: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallystone.operators import fusion as op
+from tallystone.session import table
 from tallystone.plans.views import NOW, STREAMS, streams
 
 
@@ -79,6 +80,18 @@ def fu_synthesis(spark, sf_dir):
     return op.synthesis(*(op.scored(v, NOW) for v in _versions(spark, sf_dir)))
 
 
+def fu_synthesis_tiers(spark, sf_dir):
+    return op.synthesis_summary(op.scored(_versions(spark, sf_dir)[1], NOW))
+
+
+def fu_feedback(spark, sf_dir):
+    i = F.col("event_id")
+    feedback = table(spark, sf_dir, "events").select(
+        (i % 30).alias("case_id"), F.concat(F.lit("u"), F.col("user_id")).alias("author"), F.when(i % 3 == 0, "accept").when(i % 3 == 1, "reject").otherwise("comment").alias("verdict"), F.when(i % 4 != 0, F.col("props")).alias("comment"), "ts"
+    )
+    return op.feedback_streams(feedback).select("stream_id", "subject", "claim", "provenance_hash", "ts")
+
+
 def fu_timeline(spark, sf_dir):
     """Streams in time order with their score, 0 for those that were not scored (here: neutral claims)."""
     score = _scored(spark, sf_dir).where("claim <> 'neutral'").select("stream_id", F.round("composite", 9).alias("score"))
@@ -120,7 +133,7 @@ _VERSIONS = """, old AS (SELECT * FROM streams WHERE stream_id % 5 <> 0), new AS
 )"""
 
 QUERIES = {f.__name__: f for f in (
-    fu_topn, fu_score, fu_accept_reject, fu_conclusions, fu_conflicts, fu_arbitrate, fu_overruled, fu_anomaly_dup, fu_anomaly_flood, fu_future, fu_sensitivity, fu_sensitivity_single, fu_version_diff, fu_synthesis, fu_timeline,
+    fu_topn, fu_score, fu_accept_reject, fu_conclusions, fu_conflicts, fu_arbitrate, fu_overruled, fu_anomaly_dup, fu_anomaly_flood, fu_future, fu_sensitivity, fu_sensitivity_single, fu_version_diff, fu_synthesis, fu_synthesis_tiers, fu_feedback, fu_timeline,
 )}
 
 ORACLES = {
@@ -153,5 +166,8 @@ FROM (FROM composed_lo UNION ALL FROM composed_hi) v JOIN composed c USING (stre
   CASE WHEN abs(o.confidence - n.confidence) > 1e-9 THEN 'confidence' ELSE '' END AS changed FROM old o FULL JOIN new n ON o.stream_id = n.stream_id""",
     "fu_synthesis": f"""WITH {STREAMS}{_VERSIONS}, {_sql('old', '_o')}, {_sql('new', '_n')}, a AS (SELECT subject, polarity FROM ({_CONCLUDE.format('composed_o')})), b AS (SELECT subject, polarity FROM ({_CONCLUDE.format('composed_n')}))
 SELECT *, 'stable' AS state FROM (FROM a INTERSECT FROM b) UNION ALL SELECT *, 'new' FROM (FROM b EXCEPT FROM a) UNION ALL SELECT *, 'dropped' FROM (FROM a EXCEPT FROM b)""",
+    "fu_synthesis_tiers": f"WITH {STREAMS}{_VERSIONS}, {_sql('new', '_n')} SELECT count(*) FILTER (WHERE composite >= 0.5) AS streams_used, min(source_tier) AS highest_tier, max(source_tier) AS lowest_tier FROM composed_n",
+    "fu_feedback": """SELECT substr(sha256(event_id % 30 || '|u' || user_id || '|' || CASE WHEN event_id % 4 <> 0 THEN props ELSE '' END), 1, 16) AS stream_id, event_id % 30 AS subject, CASE event_id % 3 WHEN 0 THEN 'positive' WHEN 1 THEN 'negative' ELSE 'neutral' END AS claim,
+  sha256(CASE WHEN event_id % 4 <> 0 THEN props ELSE '' END) AS provenance_hash, ts FROM events""",
     "fu_timeline": f"{_BASE} SELECT s.stream_id, s.ts, CASE WHEN s.claim = 'neutral' THEN 0e0 ELSE round(c.composite, 9) END AS score FROM streams s LEFT JOIN composed c USING (stream_id)",
 }

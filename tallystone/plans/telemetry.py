@@ -89,6 +89,11 @@ def tl_trimmed_median(spark, sf_dir):
     return op.trimmed_median(table(spark, sf_dir, "events"), "event_type", "value", 1.5).withColumn("median", F.round("median", 6))
 
 
+def tl_signals(spark, sf_dir):
+    e = op.latest_signals(table(spark, sf_dir, "events"), "event_type", "user_id", "ts", "value", "2024-01-31 00:00:00", 200_000)
+    return op.trimmed_median(e, "event_type", "value", 1.0).withColumn("median", F.round("median", 6))
+
+
 def tl_before_after(spark, sf_dir):
     o = table(spark, sf_dir, "orders").withColumn("phase", F.when(F.col("o_orderdate") < F.lit("1998-07-01").cast("timestamp_ntz"), "before").otherwise("after"))
     out = op.before_after(o.withColumn("price", F.round(F.col("o_totalprice") * 100).cast("long")), "o_orderpriority", "phase", "price")
@@ -146,7 +151,7 @@ _FAMILY = "CASE event_type WHEN 'error' THEN 'retrieval' WHEN 'click' THEN 'comp
 _MAIL = "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}"
 
 QUERIES = {f.__name__: f for f in (
-    tl_runs, tl_buckets, tl_percentiles, tl_diff, tl_families, tl_weekly, tl_rollup, tl_cube, tl_decision, tl_rolling, tl_rolling_each, tl_last_n, tl_newest_buffer, tl_trimmed_median, tl_before_after, tl_capacity, tl_escalation, tl_strata, tl_queue, tl_epochs, tl_extraction_summary, tl_replay_diff, tl_compress_gate,
+    tl_runs, tl_buckets, tl_percentiles, tl_diff, tl_families, tl_weekly, tl_rollup, tl_cube, tl_decision, tl_rolling, tl_rolling_each, tl_last_n, tl_newest_buffer, tl_trimmed_median, tl_signals, tl_before_after, tl_capacity, tl_escalation, tl_strata, tl_queue, tl_epochs, tl_extraction_summary, tl_replay_diff, tl_compress_gate,
 )}
 
 ORACLES = {
@@ -167,6 +172,8 @@ round(quantile_cont(value, 0.95) FILTER (WHERE event_type <> 'error'), 2) AS p95
     "tl_last_n": "WITH r AS (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 10) SELECT user_id, count(*) AS n, round(avg(value), 6) AS mean, min(value) AS low, max(value) AS high, arg_max(value, event_id) AS latest FROM r GROUP BY user_id",
     "tl_newest_buffer": "SELECT event_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 1000",
     "tl_trimmed_median": "WITH s AS (SELECT event_type, median(value) AS m, stddev_samp(value) AS d FROM events GROUP BY 1) SELECT event_type, round(median(value), 6) AS median, count(*) AS n FROM events JOIN s USING (event_type) WHERE d IS NULL OR d = 0 OR abs(value - m) <= 1.5 * d GROUP BY 1",
+    "tl_signals": """WITH l AS (SELECT event_type, user_id, max({'t': ts, 'v': value}) AS x FROM events GROUP BY 1, 2), e AS (SELECT event_type, x.v AS value FROM l WHERE epoch_us(TIMESTAMP '2024-01-31') - epoch_us(x.t) <= 200000000000),
+s AS (SELECT event_type, median(value) AS m, stddev_samp(value) AS d FROM e GROUP BY 1) SELECT event_type, round(median(value), 6) AS median, count(*) AS n FROM e JOIN s USING (event_type) WHERE d IS NULL OR d = 0 OR abs(value - m) <= 1.0 * d GROUP BY 1""",
     "tl_before_after": """WITH o AS (SELECT o_orderpriority, o_orderdate < TIMESTAMP '1998-07-01' AS b, CAST(round(o_totalprice * 100) AS BIGINT) AS price FROM orders),
 g AS (SELECT o_orderpriority, count(*) FILTER (WHERE b) AS n_before, count(*) FILTER (WHERE NOT b) AS n_after, avg(price) FILTER (WHERE b) AS x, avg(price) FILTER (WHERE NOT b) AS y FROM o GROUP BY 1)
 SELECT o_orderpriority, n_before, n_after, round(y - x, 3) AS delta, round((y - x) * 100 / x, 4) AS percent FROM g""",
