@@ -6,9 +6,13 @@ hidden layer) learns each vector's part and those of its neighbours. Indexing: e
 part. Searching: a query goes to its most probable parts until their probabilities reach ``COVER``, at least ``PROBES``
 of them; the vectors there are ranked by exact cosine in double precision.
 
+Parts of more vectors than the sample can tell apart are cut again: each has a router of its own, fitted in a task on a
+bounded sample of the part (``MAX_PARTS`` routers at most, some 100 KB each, which are broadcast), so that there are up
+to ``MAX_PARTS`` squared parts. A query then goes to the most probable of them by the product of both probabilities.
+
 Parts are searched in blocks: a part of many vectors (one vector may make up a third of the table) or of many queries
 is split, every block of its queries meets every block of its vectors, and the best of each pair are merged per query.
-The number of parts follows the number of vectors, up to what the sample can tell apart.
+The number of parts follows the number of vectors.
 
 Edge cases: vectors that are null, zero or hold null or non-finite components take no part, neither do null ids nor
 vectors of another length than most; fewer candidates than ``k`` give all of them; equal cosines are ordered by vec_id;
@@ -18,8 +22,9 @@ repeated is answered once; an empty table gives no rows; other columns are ignor
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -36,10 +41,13 @@ HIDDEN = 128
 EPOCHS = 30
 PART_ROWS = 768
 MAX_PARTS = 128
+#: Parts are numbered by their first part times this and the part inside it.
+STRIDE = 1024
 COVER = 0.98
 PROBES = 4
 BLOCK_ROWS = 1_024
 BLOCK_QUERIES = 1_024
+_GRAIN = 1 << 30
 
 
 def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
@@ -91,12 +99,13 @@ def balanced_parts(x: np.ndarray, graph: np.ndarray, parts: int) -> np.ndarray:
 
 @dataclass
 class Router:
-    """A network of one hidden layer that gives the parts' probabilities."""
+    """A network of one hidden layer that gives the parts' probabilities; ``children`` route within some of them."""
 
     w1: np.ndarray
     b1: np.ndarray
     w2: np.ndarray
     b2: np.ndarray
+    children: dict[int, Router] = field(default_factory=dict)
 
     def probabilities(self, x: np.ndarray) -> np.ndarray:
         z = np.maximum(x.astype(np.float32) @ self.w1 + self.b1, 0) @ self.w2 + self.b2
@@ -148,6 +157,41 @@ def probed_parts(probabilities: np.ndarray, cover: float = COVER, probes: int =
     return [row[: min(m, len(row))] for row, m in zip(order, n, strict=True)]
 
 
+def _within(router: Router, x: np.ndarray, rows: np.ndarray, parts: np.ndarray) -> Iterator[tuple[np.ndarray, int, np.ndarray | None]]:
+    """For each part the places in ``rows`` that go there, and the probabilities inside it (None if it isn't cut)."""
+    for part in np.unique(parts):
+        at = np.flatnonzero(parts == part)
+        child = router.children.get(int(part))
+        yield at, int(part), child.probabilities(x[rows[at]]) if child else None
+
+
+def home(router: Router, x: np.ndarray) -> np.ndarray:
+    """The number of each row's most probable part."""
+    parts = router.probabilities(x).argmax(axis=1)
+    out = parts * STRIDE
+    for at, _, inside in _within(router, x, np.arange(len(x)), parts):
+        if inside is not None:
+            out[at] += inside.argmax(axis=1)
+    return out
+
+
+def probed(router: Router, x: np.ndarray, cover: float = COVER, probes: int = PROBES) -> list[list[int]]:
+    """For each row the numbers of the parts to search: the most probable ones until ``cover`` is reached, at least ``probes``."""
+    p = router.probabilities(x)
+    chosen = probed_parts(p, cover, probes)
+    rows, parts = np.repeat(np.arange(len(x)), [len(c) for c in chosen]), np.concatenate([*chosen, np.zeros(0, np.int64)]).astype(np.int64)
+    found: list[list[tuple[float, int]]] = [[] for _ in range(len(x))]
+    for at, part, inside in _within(router, x, rows, parts):
+        for i, row in enumerate(rows[at]):
+            found[row] += [(-float(p[row, part]), part * STRIDE)] if inside is None else [(-float(p[row, part] * q), part * STRIDE + j) for j, q in enumerate(inside[i])]
+    out = []
+    for pairs in found:
+        pairs.sort()
+        reached = np.cumsum([-q for q, _ in pairs])
+        out.append([part for _, part in pairs[: max(probes, 1 + int((reached < cover * reached[-1]).sum()))]])
+    return out
+
+
 def usable(vectors: DataFrame) -> DataFrame:
     """vec_id and embedding of the rows that take part."""
     x = F.col("embedding")
@@ -176,9 +220,32 @@ def fit(vectors: DataFrame, sample: int = SAMPLE, part_rows: int = PART_ROWS, ma
         parts *= 2
     if parts == 1:
         return None
-    grain = 1 << 30
-    drawn = vectors.where(F.pmod(F.xxhash64(F.lit("fit"), "vec_id"), F.lit(grain)) < int(min(1.0, sample / total) * grain))
+    drawn = vectors.where(F.pmod(F.xxhash64(F.lit("fit"), "vec_id"), F.lit(_GRAIN)) < int(min(1.0, sample / total) * _GRAIN))
     x = np.unique(_unit(_matrix(drawn.select("embedding").toArrow().column(0).combine_chunks())), axis=0)  # copies count once
+    router = _fitted(x, parts)
+    if router is None or parts < max_parts or total <= 2 * parts * part_rows:
+        return router
+    sizes = {r["part"] // STRIDE: r["count"] for r in routed(vectors, router).groupBy("part").count().collect()}  # a row a part
+    large = {part: n for part, n in sizes.items() if n > 2 * part_rows}
+    if large:
+        share = F.create_map(*(F.lit(v) for part, n in sorted(large.items()) for v in (part, int(min(1.0, sample / n) * _GRAIN))))
+        inside = routed(vectors, router).select((F.col("part") / STRIDE).cast("int").alias("part"), "vec_id", "embedding", share[(F.col("part") / STRIDE).cast("int")].alias("share"))
+        some = inside.where(F.pmod(F.xxhash64(F.lit("inside"), "vec_id"), F.lit(_GRAIN)) < F.col("share")).dropDuplicates(["part", "embedding"]).select("part", "embedding")
+        counts = {part: min(max_parts, 1 << (n // part_rows).bit_length()) for part, n in large.items()}
+
+        def child(rows: pa.Table) -> pa.Table:
+            part = rows.column("part")[0].as_py()
+            found = _fitted(np.unique(_unit(_matrix(rows.column("embedding").combine_chunks())), axis=0), counts[part])
+            weights = [pickle.dumps(found)] if found else []
+            return pa.table([pa.array([part] * len(weights), pa.int32()), pa.array(weights, pa.binary())], names=["part", "router"])
+
+        share_package(vectors.sparkSession)
+        router.children = {r["part"]: pickle.loads(r["router"]) for r in some.groupBy("part").applyInArrow(child, "part int, router binary").collect()}
+    return router
+
+
+def _fitted(x: np.ndarray, parts: int) -> Router | None:
+    """A router of unit vectors into ``parts`` parts, or as many as they can tell apart; None for one."""
     while parts > 1 and parts * 16 > len(x):
         parts //= 2
     return fit_router(x, parts) if parts > 1 else None
@@ -190,8 +257,8 @@ def _routed_batches(batches: Iterator[pa.RecordBatch], shared, cover: float | No
         if router is None or not batch.num_rows:
             found = [[0]] * batch.num_rows
         else:
-            p = router.probabilities(_unit(_matrix(batch.column("embedding"))))
-            found = [[int(i)] for i in p.argmax(axis=1)] if cover is None else [x.tolist() for x in probed_parts(p, cover, probes)]
+            x = _unit(_matrix(batch.column("embedding")))
+            found = home(router, x)[:, None].tolist() if cover is None else probed(router, x, cover, probes)
         yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("embedding"), pa.array(found, pa.list_(pa.int32()))], names=["vec_id", "embedding", "parts"])
 
 
@@ -199,7 +266,7 @@ def routed(vectors: DataFrame, router: Router | None, cover: float | None = None
     """vec_id, embedding and part: the most probable part or, with ``cover``, a row for each part to probe."""
     spark = vectors.sparkSession
     share_package(spark)
-    shared = spark.sparkContext.broadcast(router)  # two weight matrices of at most HIDDEN x MAX_PARTS
+    shared = spark.sparkContext.broadcast(router)  # at most MAX_PARTS + 1 networks of two small matrices
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in vectors.schema.fields)
     found = vectors.mapInArrow(lambda b: _routed_batches(b, shared, cover, probes), f"{kinds}, parts array<int>")
     return found.select("vec_id", "embedding", F.explode("parts").alias("part"))
@@ -236,14 +303,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, router: Router |
     Both tables hold vec_id and embedding as ``usable`` gives them; ``router`` is what ``fit`` gave for ``vectors``.
     """
     as_long = lambda df: df.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    index = cut(routed(as_long(vectors), router))
-    asked = cut(routed(as_long(queries).dropDuplicates(), router, cover, probes).withColumn("query_key", F.xxhash64("embedding")))
-    # One row a part, MAX_PARTS at most.
+    index = cut(routed(as_long(vectors), router).withColumn("row", F.monotonically_increasing_id()))
+    asked = cut(routed(as_long(queries).dropDuplicates(), router, cover, probes).withColumn("query_key", F.xxhash64("embedding")).withColumn("row", F.col("query_key")))
+    # One row a part.
     blocks = index.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("v_blocks"))
     asks = asked.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / BLOCK_QUERIES).cast("int").alias("q_blocks"))
     sizes = F.broadcast(blocks.join(asks, "part"))
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    own = lambda n: F.pmod(F.xxhash64(F.lit("block"), "vec_id"), F.col(n)).cast("int")
+    own = lambda n: F.pmod(F.xxhash64(F.lit("block"), "row"), F.col(n)).cast("int")
     v = index.join(sizes, "part").select("part", own("v_blocks").alias("v"), upto("q_blocks").alias("q"), "vec_id", "embedding")
     q = asked.join(sizes, "part").select("part", upto("v_blocks").alias("v"), own("q_blocks").alias("q"), "vec_id", "embedding", "query_key")
     share_package(vectors.sparkSession)

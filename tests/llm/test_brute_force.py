@@ -174,6 +174,31 @@ def test_nearest_recall_and_scores(spark, docs_of):
     assert hits >= 0.9 * 5 * 60
 
 
+def test_parts_inside_parts(spark):
+    """Two levels of parts: every vector is indexed once, recall holds, and rows that share one id are dealt over blocks."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(150, 12))
+    x = (centres[rng.integers(0, 150, 6000)] + 0.3 * rng.normal(size=(6000, 12))).astype(np.float32)
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(6000), "embedding": [r.tolist() for r in x]}), "vec_id long, embedding array<float>")
+    router = ann.fit(df, sample=3000, part_rows=128, max_parts=8)
+    assert len(router.children) >= 6 and all(not c.children for c in router.children.values())
+    y = x.astype(float)
+    homes, asked = ann.home(router, y), ann.probed(router, y)
+    assert len({*homes.tolist()}) > 16 and np.mean([h in a for h, a in zip(homes, asked, strict=True)]) > 0.99
+    assert ann.routed(df, router).count() == 6000
+    got = ann.nearest(df, df.where("vec_id % 50 = 0"), 5, router).toPandas()
+    unit = y / np.linalg.norm(y, axis=1, keepdims=True)
+    hits = 0
+    for q, rows in got.groupby("query_id"):
+        s = unit @ unit[q]
+        s[q] = -9
+        hits += len({*rows.vec_id} & {*np.argsort(-s)[:5]})
+    assert hits >= 0.9 * 5 * 120
+    same = df.selectExpr("CAST(7 AS BIGINT) AS vec_id", "embedding").union(df.where("vec_id = 0"))
+    best = ann.nearest(same, df.where("vec_id = 0"), 5, None).orderBy("rank").collect()
+    assert [r["vec_id"] for r in best] == [7] * 5 and best[0]["score"] > 0.999
+
+
 def test_nearest_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, None), (2, [0.0, 0.0]), (3, [nan, 1.0]), (4, [inf, 1.0]), (5, [None, 1.0]), (None, [1.0, 1.0]), (6, [1.0, 1.0]), (7, [2.0, 2.0]), (0, [1.0, 0.0]), (8, [1.0, 2.0, 3.0])]
