@@ -122,6 +122,46 @@ def proof_holds():
     return F.aggregate("proof", F.col("leaf"), _parent) == F.col("root")
 
 
+def _entry_json(fields: list[str]):
+    """Canonical JSON of the named columns: keys in order, no blanks, nulls kept."""
+    return F.to_json(F.struct(*(F.col(f).alias(f) for f in sorted(fields))), {"ignoreNullFields": "false"})
+
+
+def build_ledger(entries: DataFrame, fields: list[str]) -> DataFrame:
+    """ledger, seq, the fields, prev_hash and hash: the hash of an entry's canonical JSON, prev_hash included, "GENESIS" first."""
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ledger, last = None, "GENESIS"
+        for batch in batches:
+            before, hashes = [], []
+            for key, head, tail in zip(batch["ledger"], batch["_head"], batch["_tail"], strict=True):
+                if key != ledger:
+                    ledger, last = key, "GENESIS"
+                before.append(last)
+                last = sha256(f"{head}{last}{tail}".encode()).hexdigest()
+                hashes.append(last)
+            yield batch.drop(columns=["_head", "_tail"]).assign(prev_hash=before, hash=hashes)
+
+    mark = "<prev_hash>"  # stands where the hash comes
+    parts = F.split(_entry_json([*fields, "prev_hash"]), mark)
+    rows = entries.withColumn("prev_hash", F.lit(mark)).withColumn("_head", parts[0]).withColumn("_tail", parts[1]).drop("prev_hash")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in entries.schema.fields)
+    return rows.repartition("ledger").sortWithinPartitions("ledger", "seq").mapInPandas(fold, f"{kinds}, prev_hash string, hash string")
+
+
+def ledger_faults(ledger: DataFrame, fields: list[str]) -> DataFrame:
+    """The first entry of each ledger that fails: no hashes, prev_hash not the hash of the entry before, or another hash than its own."""
+    own = F.sha2(_entry_json([*fields, "prev_hash"]), 256)
+    rows = with_previous(ledger.withColumn("_own", own), "ledger", "seq", "hash")
+    fault = (
+        F.when(F.col("prev_hash").isNull() | F.col("hash").isNull(), "missing")
+        .when(F.col("prev_hash") != F.coalesce("previous.hash", F.lit("GENESIS")), "prev_hash mismatch")
+        .when(F.col("hash") != F.col("_own"), "hash mismatch")
+    )
+    bad = rows.withColumn("fault", fault).where("fault IS NOT NULL")
+    return bad.groupBy("ledger").agg(F.min("seq").alias("first"), F.min_by("fault", "seq").alias("fault"))
+
+
 def block_chain(roots: DataFrame, key: str) -> DataFrame:
     """Blocks linked by hash: block_hash covers height, root and count; previous is the hash of the block before."""
     hashed = roots.withColumn("block_hash", stable_id(F.col(key), F.col("block"), F.col("root"), F.col("n_records")))

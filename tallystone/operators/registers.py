@@ -99,3 +99,22 @@ def registry_health(models: DataFrame) -> DataFrame:
 def bucket_members(runs: DataFrame, parts: DataFrame, name: str) -> DataFrame:
     """For each bucket of runs (run_id, bucket) and each name among their parts (run_id, name): parts and runs that have it."""
     return parts.join(runs.select("run_id", "bucket"), "run_id").groupBy("bucket", name).agg(F.count(F.lit(1)).alias("parts"), F.count_distinct("run_id").alias("runs"))
+
+
+def with_findings(artifacts: DataFrame, findings: DataFrame) -> DataFrame:
+    """Artifacts (artifact) with the findings (finding, kind, affected: array of artifacts) that name them, in order.
+
+    A finding that names an artifact twice counts once; artifacts without findings have an empty list.
+    """
+    named = findings.select(F.explode(F.array_distinct("affected")).alias("artifact"), "finding", "kind")
+    lists = named.groupBy("artifact").agg(F.array_sort(F.collect_set(F.struct("finding", "kind"))).alias("findings"))
+    return artifacts.join(lists, "artifact", "left").withColumn("findings", F.coalesce("findings", F.array().cast(lists.schema["findings"].dataType)))
+
+
+def policy_report(runs: DataFrame, families: dict[str, str], default: str = "other") -> DataFrame:
+    """Per policy and origin (policy, synthetic, blocked, violations array) runs, blocked ones, their rate, and violations by family."""
+    names = sorted({*families.values(), default})
+    mapping = F.create_map(*(F.lit(x) for kv in sorted(families.items()) for x in kv))
+    kinds = F.transform(F.coalesce("violations", F.array().cast("array<string>")), lambda v: F.coalesce(mapping[v], F.lit(default)))
+    count = lambda name: F.sum(F.size(F.filter(kinds, lambda k: k == name))).alias(f"n_{name}")
+    return runs.groupBy("policy", "synthetic").agg(F.count(F.lit(1)).alias("runs"), F.count_if("blocked").alias("blocked"), F.avg(F.col("blocked").cast("int")).alias("rate"), *map(count, names))

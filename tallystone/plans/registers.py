@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallystone.operators import chains, compliance, registers, stateful, temporal
+from tallystone.operators import chains, compliance, registers, stateful, telemetry, temporal
 from tallystone.plans import chains as chain_plans
 from tallystone.plans import stateful as state_plans
 from tallystone.plans import telemetry as telemetry_plans
@@ -130,13 +130,46 @@ def ch_witness(spark, sf_dir):
     return chains.witness_checkpoints(records, "tenant", 1_700_000_000).select("tenant", "entries", "head", "root", "checkpoint_id")
 
 
+def _ledger(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("ledger"), F.col("event_id").alias("seq"), F.col("event_type").alias("event"), F.when(F.col("event_id") % 6 != 0, F.col("event_id") % 50).alias("tokens"))
+    return chains.build_ledger(e, ["event", "seq", "tokens"])
+
+
+def ch_ledger(spark, sf_dir):
+    """First faults after some entries were edited, some removed and some lost their hash."""
+    i = F.col("seq")
+    edited = _ledger(spark, sf_dir).where("seq % 83 <> 7").withColumn("tokens", F.when(i % 61 == 5, 99).otherwise(F.col("tokens"))).withColumn("hash", F.when(i % 131 != 3, F.col("hash")))
+    return chains.ledger_faults(edited, ["event", "seq", "tokens"])
+
+
+def cl_findings(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("artifact"))
+    i = F.col("event_id")
+    findings = table(spark, sf_dir, "events").select(i.alias("finding"), F.col("event_type").alias("kind"), F.array(i % 150, (i * 7) % 90, i % 150).alias("affected"))
+    out = registers.with_findings(d, findings)
+    return out.select("artifact", F.size("findings").cast("long").alias("n"), F.array_join(F.transform("findings", lambda x: F.concat_ws(":", x["finding"].cast("string"), x["kind"])), ",").alias("findings"))
+
+
+def tl_policies(spark, sf_dir):
+    i = F.col("event_id")
+    runs = table(spark, sf_dir, "events").select(
+        (i % 7).alias("policy"), (F.col("user_id") % 10 == 0).alias("synthetic"), (F.col("event_type") == "error").alias("blocked"), F.when(i % 3 != 0, F.array(F.concat(F.lit("k"), i % 4), F.concat(F.lit("k"), i % 5))).alias("violations")
+    )
+    return registers.policy_report(runs, {"k0": "retrieval", "k1": "compression", "k2": "retrieval"}).withColumn("rate", F.round("rate", 6))
+
+
+def tl_critic_days(spark, sf_dir):
+    e = table(spark, sf_dir, "events").where("event_type <> 'error'").select(F.date_format("ts", "yyyy-MM-dd").alias("day"), F.floor(F.col("value") * 10).alias("latency"))
+    return telemetry.exact_ranks(e, "latency", "day")
+
+
 def st_top_gear(spark, sf_dir):
     geared = stateful.gear(state_plans._ticks(spark, sf_dir).withColumn("load", (F.col("event_id") * 37 % 100) / 100.0), "user_id", "event_id", "tick", "load", cooldown=12)
     return stateful.top_gear_events(geared, 4, "event_id").select("event_id", "gear", "ts_hex")
 
 
 QUERIES = {f.__name__: f for f in (
-    fu_versions, fu_manifest, fu_cell_streams, en_planes, tl_trend, tl_registry, tl_bucket_stations, tl_audit_counts, tm_pdf_anomalies, ru_composed, ru_policy_route, ru_compliance, ru_checkpoints, ch_block_checks, ch_witness, st_top_gear,
+    fu_versions, fu_manifest, fu_cell_streams, en_planes, tl_trend, tl_registry, tl_bucket_stations, tl_audit_counts, tm_pdf_anomalies, ru_composed, ru_policy_route, ru_compliance, ru_checkpoints, ch_block_checks, ch_witness, ch_ledger, cl_findings, tl_policies, tl_critic_days, st_top_gear,
 )}
 
 _OPS = """o AS (SELECT event_id AS i, event_id % 13 = 12 AS m2, event_id % 2 = 0 AND event_id % 5 = 4 AND event_id % 3 = 1 AS m1, event_id % 17 = 0 AS m3, event_id % 3 <> 0 AS spec, event_id % 6 <> event_id % 4 AS m4 FROM events),
@@ -189,5 +222,18 @@ p AS (SELECT tenant, block, concat_ws(',', CASE WHEN stated <> before THEN 'CHAI
   CASE WHEN lost OR integrity <> sha256(tenant || '|' || block || '|' || stated || '|' || root || '|' || n_records) THEN 'INTEGRITY_MISMATCH' END) AS problems FROM j)
 SELECT tenant, min(block) AS first_block, arg_min(problems, block) AS problems FROM p WHERE problems <> '' GROUP BY tenant""",
     "ch_witness": f"""WITH RECURSIVE {chain_plans._BLOCKS}{_WHOLE_TREE} SELECT tenant, entries, head, tree.h AS root, substr(sha256(head || '|' || tree.h || '|1700000000'), 1, 32) AS checkpoint_id FROM tree JOIN n USING (tenant) WHERE size = 1""",
+    "ch_ledger": """WITH RECURSIVE e AS (SELECT user_id AS ledger, event_id AS seq, event_type AS event, CASE WHEN event_id % 6 <> 0 THEN event_id % 50 END AS tokens, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+b AS (SELECT ledger, seq, event, tokens, n, 'GENESIS' AS prev_hash, sha256('{"event":"' || event || '","prev_hash":"GENESIS","seq":' || seq || ',"tokens":' || coalesce(CAST(tokens AS VARCHAR), 'null') || '}') AS hash FROM e WHERE n = 1
+UNION ALL SELECT e.ledger, e.seq, e.event, e.tokens, e.n, b.hash, sha256('{"event":"' || e.event || '","prev_hash":"' || b.hash || '","seq":' || e.seq || ',"tokens":' || coalesce(CAST(e.tokens AS VARCHAR), 'null') || '}') FROM b JOIN e ON e.ledger = b.ledger AND e.n = b.n + 1),
+t AS (SELECT ledger, seq, event, CASE WHEN seq % 61 = 5 THEN 99 ELSE tokens END AS tokens, prev_hash, CASE WHEN seq % 131 <> 3 THEN hash END AS hash FROM b WHERE seq % 83 <> 7),
+c AS (SELECT *, coalesce(lag(hash) OVER (PARTITION BY ledger ORDER BY seq), 'GENESIS') AS before, sha256('{"event":"' || event || '","prev_hash":"' || prev_hash || '","seq":' || seq || ',"tokens":' || coalesce(CAST(tokens AS VARCHAR), 'null') || '}') AS own FROM t),
+f AS (SELECT ledger, seq, CASE WHEN hash IS NULL THEN 'missing' WHEN prev_hash <> before THEN 'prev_hash mismatch' WHEN hash <> own THEN 'hash mismatch' END AS fault FROM c)
+SELECT ledger, min(seq) AS first, arg_min(fault, seq) AS fault FROM f WHERE fault IS NOT NULL GROUP BY ledger""",
+    "cl_findings": """WITH f AS (SELECT DISTINCT unnest([event_id % 150, event_id * 7 % 90]) AS a, event_id, event_type FROM events), g AS (SELECT a, count(*) AS n, string_agg(event_id || ':' || event_type, ',' ORDER BY event_id) AS findings FROM f GROUP BY a)
+SELECT doc_id AS artifact, coalesce(n, 0) AS n, coalesce(findings, '') AS findings FROM documents LEFT JOIN g ON a = doc_id""",
+    "tl_policies": """WITH r AS (SELECT event_id % 7 AS policy, user_id % 10 = 0 AS synthetic, event_type = 'error' AS blocked, CASE WHEN event_id % 3 <> 0 THEN [event_id % 4, event_id % 5] ELSE [] END AS v FROM events)
+SELECT policy, synthetic, count(*) AS runs, count(*) FILTER (WHERE blocked) AS blocked, round(avg(CAST(blocked AS INTEGER)), 6) AS rate, CAST(sum(len(list_filter(v, lambda k: k = 1))) AS BIGINT) AS n_compression, CAST(sum(len(list_filter(v, lambda k: k > 2))) AS BIGINT) AS n_other, CAST(sum(len(list_filter(v, lambda k: k IN (0, 2)))) AS BIGINT) AS n_retrieval FROM r GROUP BY ALL""",
+    "tl_critic_days": """WITH e AS (SELECT strftime(ts, '%Y-%m-%d') AS day, CAST(floor(value * 10) AS BIGINT) AS v FROM events WHERE event_type <> 'error')
+SELECT day, count(*) AS n, median(v) AS p50, list_sort(list(v))[least(count(*), CAST(floor(count(*) * 0.95e0) AS BIGINT) + 1)] AS p95, max(v) AS max FROM e GROUP BY day""",
     "st_top_gear": f"SELECT event_id, gear, substr(sha256(event_id || '|' || gear), 1, 16) AS ts_hex FROM ({state_plans.ORACLES['st_gear']}) WHERE gear = 4",
 }
