@@ -25,15 +25,16 @@ def node_score() -> Column:
 def best_node(work: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
     """For each unit of work (key, dt, tu) the node of largest score whose dt and tu suffice, the first among equals; null if none.
 
-    Nodes meet the distinct demands, not the work, and the answer is joined back by demand. A cluster's list of nodes
-    is broadcast up to MAX_NODES; a longer one is left to Spark.
+    Of nodes with the same dt and tu only the best can win, so different capacities meet different demands, not nodes
+    work, and the answer is joined back by demand. The capacities are broadcast up to MAX_NODES; more are left to Spark.
     """
-    scored = nodes.withColumn("score", node_score()).select("node", "score", F.col("dt").alias("_dt"), F.col("tu").alias("_tu"))
-    if nodes.limit(MAX_NODES + 1).count() <= MAX_NODES:
+    best_of = lambda: F.max_by(F.struct("score", "node"), F.struct(F.col("score"), (-F.col("node")).alias("first")))
+    scored = nodes.withColumn("score", node_score()).groupBy(F.col("dt").alias("_dt"), F.col("tu").alias("_tu")).agg(best_of().alias("_best")).select("_dt", "_tu", "_best.*")
+    if scored.limit(MAX_NODES + 1).count() <= MAX_NODES:
         scored = F.broadcast(scored)
     demands = work.select("dt", "tu").distinct()
     fit = demands.join(scored, (F.col("_dt") >= F.col("dt")) & (F.col("_tu") >= F.col("tu")))
-    best = fit.groupBy("dt", "tu").agg(F.max_by("node", F.struct(F.col("score"), (-F.col("node")).alias("first"))).alias("node"))
+    best = fit.groupBy("dt", "tu").agg(best_of().alias("_best")).select("dt", "tu", "_best.node")
     return work.join(best, ["dt", "tu"], "left").select(key, "node")
 
 
