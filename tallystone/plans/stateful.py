@@ -168,6 +168,20 @@ SELECT event_id, state FROM f""",
     "st_admission": "SELECT event_id, CASE WHEN event_id % 9 = 0 THEN 'reject_pressure' WHEN event_id % 7 = 0 THEN 'reject_credit' WHEN event_id % 50 < event_id % 45 THEN 'reject_deadline' WHEN event_id % 4 = 0 THEN 'defer' ELSE 'admit' END AS decision FROM events",
     "st_eligible": "WITH n AS (SELECT DISTINCT event_id % 5 AS z, event_id % 3 AS k FROM events) SELECT s_suppkey AS panel, count(*) AS n_needs FROM supplier JOIN n ON z = s_suppkey % 4 AND k = s_suppkey % 3 GROUP BY 1",
     "st_round_robin": "SELECT event_id, CAST((row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) % 7 AS INTEGER) AS slot FROM events",
+    "st_capacity": f"""WITH RECURSIVE {_T}, x AS (SELECT user_id, n, event_id, event_id % 3 < 2 AS start, event_id % 5 + 1 AS a, event_id % 4 AS b FROM t),
+z AS (SELECT user_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS event_id, CAST(0 AS BIGINT) AS dt, CAST(0 AS BIGINT) AS tu, 0 AS waiting, CAST([] AS STRUCT(a BIGINT, b BIGINT)[]) AS running, '' AS result FROM x WHERE n = 1
+UNION ALL SELECT x.user_id, x.n, x.event_id, CASE WHEN start AND dt + a <= 10 AND tu + b <= 8 THEN dt + a WHEN NOT start AND len(running) > 0 THEN dt - running[1].a ELSE dt END,
+  CASE WHEN start AND dt + a <= 10 AND tu + b <= 8 THEN tu + b WHEN NOT start AND len(running) > 0 THEN tu - running[1].b ELSE tu END,
+  CASE WHEN start AND NOT (dt + a <= 10 AND tu + b <= 8) AND waiting < 3 THEN waiting + 1 WHEN NOT start AND len(running) > 0 THEN greatest(0, waiting - 1) ELSE waiting END,
+  CASE WHEN start AND dt + a <= 10 AND tu + b <= 8 THEN list_append(running, {{'a': a, 'b': b}}) WHEN NOT start THEN running[2:] ELSE running END,
+  CASE WHEN start THEN CASE WHEN dt + a <= 10 AND tu + b <= 8 THEN 'run' WHEN waiting < 3 THEN 'wait' ELSE 'reject' END WHEN len(running) > 0 THEN 'release' ELSE 'idle' END
+FROM z JOIN x ON x.user_id = z.user_id AND x.n = z.n + 1) SELECT event_id, result, dt AS used_dt, tu AS used_tu FROM z WHERE n > 0""",
+    "st_jobs": """WITH RECURSIVE j AS (SELECT l_orderkey, l_linenumber, max(l_partkey % 4) = 0 AS ok, CAST(l_linenumber * 10 AS BIGINT) AS tick, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS n FROM lineitem GROUP BY 1, 2),
+z AS (SELECT l_orderkey, n, l_linenumber, tick AS first, CASE WHEN ok THEN 0 ELSE 1 END AS tries, ok AS over, CASE WHEN ok THEN 'done' ELSE 'retry' END AS state, CASE WHEN ok THEN 0 ELSE tick + 2 END AS due FROM j WHERE n = 1
+UNION ALL SELECT j.l_orderkey, j.n, j.l_linenumber, first, CASE WHEN over OR tick - first > 45 OR ok OR tries >= 2 THEN tries ELSE tries + 1 END, over OR tick - first > 45 OR ok OR tries >= 2,
+  CASE WHEN over THEN 'archived' WHEN tick - first > 45 THEN 'timed_out' WHEN ok THEN 'done' WHEN tries >= 2 THEN 'failed' ELSE 'retry' END,
+  CASE WHEN over OR tick - first > 45 OR ok OR tries >= 2 THEN 0 ELSE tick + (2 << tries) END FROM z JOIN j ON j.l_orderkey = z.l_orderkey AND j.n = z.n + 1)
+SELECT l_orderkey, l_linenumber, state, CAST(due AS BIGINT) AS due FROM z""",
     "st_token_bucket": f"""WITH RECURSIVE {_T}, f AS (SELECT user_id, n, event_id, tick, 'yes' AS accepted, 20 - (4 + event_id % 9) AS tokens FROM t WHERE n = 1
 UNION ALL SELECT t.user_id, t.n, t.event_id, t.tick, CASE WHEN least(20, tokens + t.tick - f.tick) >= 4 + t.event_id % 9 THEN 'yes' ELSE 'no' END,
   least(20, tokens + t.tick - f.tick) - CASE WHEN least(20, tokens + t.tick - f.tick) >= 4 + t.event_id % 9 THEN 4 + t.event_id % 9 ELSE 0 END {_STEP}) SELECT event_id, accepted, tokens FROM f""",
