@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallystone.llm.checkpoints import stored
-from tallystone.llm.columns import numbered, restored
+from tallystone.llm.columns import numbered, restored, without
 from tallystone.llm.textbatch import U64, slices, span_hashes, splitmix, text_bytes
 from tallystone.session import share_package
 
@@ -261,6 +261,5 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, gram: int = GRAM, windo
     keyed = docs.select(F.struct("doc_id", version.alias("version")).alias("doc_id"), "text")
     bad = contamination(keyed, items, gram, window).where("contaminated").select("doc_id.*").distinct()
     bad = bad.select(F.col("doc_id").alias("_bad_id"), F.col("version").alias("_bad_version"))
-    rows = numbered(docs, "doc_id", "text")
-    kept = rows.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad_id")) & (F.xxhash64("text") == F.col("_bad_version")), "left_anti")
+    kept = without(numbered(docs, "doc_id", "text"), bad, F.col("doc_id").eqNullSafe(F.col("_bad_id")) & (F.xxhash64("text") == F.col("_bad_version")))
     return restored(kept, docs, "doc_id", "text")

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallystone.llm.checkpoints import cut
-from tallystone.llm.columns import numbered, restored
+from tallystone.llm.columns import numbered, restored, without
 from tallystone.llm.components import least_reached, smallest_reachable
 from tallystone.session import share_package
 
@@ -194,8 +194,7 @@ def keep_one_of_each(docs: DataFrame, shingle: int = SHINGLE, bucket: int = BUCK
     keyed = docs.select(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", F.xxhash64("text").alias("version"))).alias("doc_id"), "text")
     gone = near_duplicates(keyed, shingle, bucket).where("doc_id.doc_id <> component_id.doc_id").select("doc_id.*").distinct()
     gone = gone.select(F.col("doc_id").alias("_gone_id"), F.col("version").alias("_gone_version"))
-    rows = numbered(docs, "doc_id", "text")
-    kept = rows.join(gone, (F.col("doc_id") == F.col("_gone_id")) & (F.xxhash64("text") == F.col("_gone_version")), "left_anti")
+    kept = without(numbered(docs, "doc_id", "text"), gone, (F.col("doc_id") == F.col("_gone_id")) & (F.xxhash64("text") == F.col("_gone_version")))
     return restored(kept, docs, "doc_id", "text")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from llm.test_brute_force import _encoding, _plain_components, _plain_fingerprint
 
-from tallystone.llm import queries
+from tallystone.llm import columns, queries
 
 
 def _plain_lines(docs):
@@ -54,3 +54,33 @@ def test_stages_keep_columns(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, small).columns == docs.columns
+
+
+def test_keys_go_by_broadcast_or_by_shuffle(spark, small, monkeypatch):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    stages = [s for name, s in corpus_pipeline.STAGES if name in ("simhash", "decontaminate")]
+    ids = lambda stage: sorted(r["doc_id"] for r in stage(spark, docs, small).collect())
+    few = [ids(s) for s in stages]
+    monkeypatch.setattr(columns, "BROADCAST_ROWS", -1)
+    assert [ids(s) for s in stages] == few and all(len(x) < docs.count() for x in few)
+
+
+def test_odd_documents(spark, docs_of, tmp_path):
+    """Nulls in any column, repeated rows, an empty table and names that the stages use themselves."""
+    line = "A line that many of the documents hold"
+    texts = [None, "", line, f"{line}\none", f"{line}\ntwo words", "short item", "short item", "x" * 50_000]
+    docs = docs_of(texts, True)
+    docs = docs.union(docs.where("doc_id = 5")).union(docs.selectExpr("CAST(NULL AS BIGINT) AS doc_id", "text", "CAST(NULL AS STRING) AS lang", "CAST(NULL AS STRING) AS source", "CAST(NULL AS BIGINT) AS n_chars", *docs.columns[5:]).where("text = 'short item' OR text IS NULL"))
+    spark.createDataFrame([(1, "short item")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    now = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, str(tmp_path))
+        assert now.columns == docs.columns
+    # One of the three empty texts stays of those with an id, null ids stay; "short item" is the benchmark's, whoever holds it.
+    assert sorted((r["doc_id"] is None, r["doc_id"], r["text"]) for r in now.select("doc_id", "text").where("doc_id IS NOT NULL").collect()) == [(False, 0, None), (False, 3, "one"), (False, 4, f"{line}\ntwo words"), (False, 7, "x" * 50_000)]
+    assert [r["text"] for r in now.where("doc_id IS NULL").collect()] == [None]
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 5
+    docs.limit(0).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
