@@ -5,7 +5,7 @@ hashed to ``DIMENSIONS`` features, damped, weighted by inverse document frequenc
 to ``CLUSTERS`` centroids from spherical k-means; the prediction is the language of the centroid of largest cosine. A
 text farther from its language's centroids than ``REJECT`` of that language's training texts is marked rejected.
 
-Document frequencies are counted over all labelled rows. The centroids are fitted on a bounded sample of them,
+Document frequencies are counted over all labelled rows, languages weighing the same. The centroids are fitted on a bounded sample of them,
 ``FIT_ROWS`` a language (in expectation, equal texts once), drawn by a hash of doc_id and text; each language is
 clustered in a task of its own and only its centroids reach the driver, ``CLUSTERS`` times ``DIMENSIONS`` floats a
 language. Whole texts are read for fitting and for predicting. Prediction uses the text alone.
@@ -113,23 +113,25 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each feature in how many of a task's texts it occurs, and under -1 the number of texts."""
-    held, n = np.zeros(DIMENSIONS, np.int64), 0
+def _document_shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each feature the weight of a task's texts that hold it."""
+    held = np.zeros(DIMENSIONS)
     for whole in batches:
         for batch in slices(whole, "text", 1_000_000):
-            held += (counts_matrix(*text_bytes(batch.column("text"))) > 0).sum(axis=0)
-            n += batch.num_rows
-    if n:
-        at = np.flatnonzero(held)
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *at], pa.int32()), pa.array([n, *held[at]], pa.int64())], names=["feature", "n"])
+            held += batch.column("weight").to_numpy() @ (counts_matrix(*text_bytes(batch.column("text"))) > 0)
+    at = np.flatnonzero(held)
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(held[at])], names=["feature", "share"])
 
 
-def _inverse_frequencies(texts: DataFrame) -> np.ndarray:
-    rows = texts.select("text").mapInArrow(_document_frequencies, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()  # DIMENSIONS + 1 rows
-    found = {r["feature"]: r["n"] for r in rows}
-    held = np.array([found.get(i, 0) for i in range(DIMENSIONS)])
-    return (np.log((1 + found[-1]) / (1 + held)) + 1).astype(np.float32)
+def _inverse_frequencies(texts: DataFrame, totals: dict[str, int]) -> np.ndarray:
+    """Of all texts, each language weighing the same however many it has."""
+    n = sum(totals.values())
+    weight = F.create_map(*(F.lit(x) for lang, k in sorted(totals.items()) for x in (lang, 1.0 / (k * len(totals)))))
+    rows = texts.select("text", weight[F.col("lang")].alias("weight")).mapInArrow(_document_shares, "feature int, share double").groupBy("feature").agg(F.sum("share").alias("share")).collect()  # DIMENSIONS rows
+    held = np.zeros(DIMENSIONS)
+    for r in rows:
+        held[r["feature"]] = n * r["share"]
+    return (np.log((1 + n) / (1 + held)) + 1).astype(np.float32)
 
 
 def _clustered(sample: pa.Table, idf: np.ndarray) -> pa.Table:
@@ -152,7 +154,7 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Model | None:
     totals = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}  # one row a language
     if not totals:
         return None
-    idf = _inverse_frequencies(usable)
+    idf = _inverse_frequencies(usable, totals)
     grain = 1 << 30
     share = F.create_map(*(F.lit(x) for lang, n in sorted(totals.items()) for x in (lang, int(min(1.0, fit_rows / n) * grain))))
     drawn = usable.select("lang", "text", F.xxhash64("doc_id", "text").alias("draw"), F.xxhash64("text").alias("version")).where(F.pmod("draw", F.lit(grain)) < share[F.col("lang")])
