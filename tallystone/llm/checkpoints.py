@@ -32,9 +32,14 @@ def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     return (df if rows is None else df.coalesce(1 + rows // FILE_ROWS)).checkpoint(eager=True)
 
 
+def new_folder(spark: SparkSession, kind: str) -> str:
+    """The path of a folder, not made yet, inside the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{kind}/{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the shared checkpoint folder and read it from there, columns as needed."""
-    ensure_checkpoint_dir(df.sparkSession)
-    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/tables/{uuid.uuid4().hex}.parquet"
+    path = f"{new_folder(df.sparkSession, 'tables')}.parquet"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)

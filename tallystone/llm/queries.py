@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallystone.llm import ann, bpe, decontaminate, langid, linededup, pii, secrets, simhash, toxicity
+from tallystone.llm import ann, bpe, decontaminate, infill, langid, linededup, pii, resample, secrets, simhash, tokenfile, toxicity
+from tallystone.llm.checkpoints import new_folder
 from tallystone.session import table
 
 
@@ -81,6 +82,31 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(table(spark, sf_dir, "documents"))
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str, end: int = 1) -> DataFrame:
+    path = new_folder(spark, "tokens")
+    # This vocabulary's tokenizer drops white space, so chunks between blanks are encoded apart.
+    tokenfile.write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end, separable=True)
+    return tokenfile.read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infill.fill_in_middle(table(spark, sf_dir, "documents"))
+    digest = lambda text: F.sha2(F.encode(text, "UTF-8"), 256)
+    return made.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        digest(F.col("output")).alias("output_sha256"),
+        digest(infill.restored(F.col("form"), F.col("output"))).alias("restored_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_simhash": op2_simhash,
@@ -92,4 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_toxicity": op9_toxicity,
     "op10_personal_data": op10_personal_data,
+    "op11_token_files": op11_token_files,
+    "op12_resample": op12_resample,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
