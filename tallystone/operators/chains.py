@@ -12,7 +12,7 @@ from collections.abc import Iterator
 from hashlib import sha256
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -176,6 +176,46 @@ def block_faults(blocks: DataFrame, key: str) -> DataFrame:
     return rows.withColumn("fault", fault).where("fault IS NOT NULL").select(key, "block", "fault")
 
 
+def own_fault(sound: Column, signature_valid: Column | None = None) -> Column:
+    """What is wrong with a block by itself: its signature (if that was checked), then its hash; null if nothing is."""
+    hashed = F.when(~F.coalesce(sound, F.lit(False)), "HASH_MISMATCH")
+    return hashed if signature_valid is None else F.coalesce(F.when(~signature_valid, "SIGNATURE_INVALID"), hashed)
+
+
+def watched_blocks(blocks: DataFrame) -> DataFrame:
+    """chain, height, fault, expected and actual of each chain's blocks by height, up to the first that fails; null faults pass.
+
+    Blocks have chain, height (different ones, from 0), hash and previous as they state them and own_fault, null for a
+    sound block. A block is held against itself, then its height and its link against the block before; with the first
+    failure the chain is frozen and no later block is judged. ``streaming.streams.watched`` gives these rows of a stream.
+    """
+    rows = with_previous(blocks.withColumnRenamed("previous", "_stated"), "chain", "height", "height", "hash")
+    next_height, last_hash = F.coalesce(F.col("previous.height"), F.lit(-1)) + 1, F.coalesce("previous.hash", F.lit(GENESIS))
+    gap, broken = F.col("height") != next_height, ~F.col("_stated").eqNullSafe(last_hash)
+    linked = F.when(F.col("own_fault").isNull() & gap, "HEIGHT_GAP").when(F.col("own_fault").isNull() & broken, "CHAIN_BREAK")
+    judged = rows.select(
+        "chain",
+        "height",
+        F.coalesce("own_fault", linked).alias("fault"),
+        F.when(linked == "HEIGHT_GAP", next_height.cast("string")).when(linked == "CHAIN_BREAK", last_hash).alias("expected"),
+        F.when(linked == "HEIGHT_GAP", F.col("height").cast("string")).when(linked == "CHAIN_BREAK", F.col("_stated")).alias("actual"),
+    )
+    frozen = judged.where("fault IS NOT NULL").groupBy(F.col("chain").alias("_chain")).agg(F.min("height").alias("_frozen"))
+    return judged.join(frozen, F.col("chain").eqNullSafe(F.col("_chain")), "left").where("_frozen IS NULL OR height <= _frozen").drop("_chain", "_frozen")
+
+
+def integrity_report(watched: DataFrame) -> DataFrame:
+    """A row a chain from watched blocks: how many were judged and passed, and the block that froze it with reason and values."""
+    fault = F.max(F.when(F.col("fault").isNotNull(), F.struct("height", "fault", "expected", "actual")))  # one a chain
+    g = watched.groupBy("chain").agg(F.count(F.lit(1)).alias("checked"), F.count_if(F.col("fault").isNull()).alias("passed"), fault.alias("_f"))
+    return g.select("chain", "checked", "passed", F.col("_f").isNull().alias("chain_valid"), F.col("_f.fault").alias("reason"), F.col("_f.height").alias("height"), F.col("_f.expected").alias("expected"), F.col("_f.actual").alias("actual"))
+
+
+def chain_blocks(lines: DataFrame) -> DataFrame:
+    """Chain lines (chain, seq from 0, line, prev_hash) as blocks of one line each: a line's hash is taken from its text."""
+    return lines.select("chain", F.col("seq").alias("height"), F.sha2(F.concat("line", F.lit("\n")), 256).alias("hash"), F.col("prev_hash").alias("previous"), F.lit(None).cast("string").alias("own_fault"))
+
+
 def block_checks(blocks: DataFrame, records: DataFrame, key: str) -> DataFrame:
     """The first block of each key that fails, with all that is wrong there: link, record count, Merkle root, integrity.
 

@@ -70,6 +70,23 @@ def ch_block_faults(spark, sf_dir):
     return op.block_faults(b, "tenant")
 
 
+def _watchable(spark, sf_dir):
+    """Blocks of which some were exchanged, some lost, some linked to another block, some signed wrongly."""
+    t, b = F.col("tenant"), F.col("block")
+    made = _plain_blocks(spark, sf_dir).where("NOT (tenant % 4 = 0 AND block = 2)").select(t.alias("chain"), b.alias("height"), F.col("block_hash").alias("hash"), "previous")
+    t, b = F.col("chain"), F.col("height")
+    previous = F.when((t % 6 == 1) & (b == 1), F.sha2("previous", 256)).otherwise(F.col("previous"))
+    return made.withColumn("previous", previous).withColumn("own_fault", op.own_fault((t + 3 * b) % 17 != 5, F.when(t % 3 == 0, (t + b) % 19 != 7)))
+
+
+def ch_watch(spark, sf_dir):
+    return op.watched_blocks(_watchable(spark, sf_dir))
+
+
+def ch_watch_report(spark, sf_dir):
+    return op.integrity_report(op.watched_blocks(_watchable(spark, sf_dir)))
+
+
 def ch_unanchored(spark, sf_dir):
     b = _plain_blocks(spark, sf_dir)
     return op.unanchored(b, b.where("tenant % 3 <> 0")).select("tenant", "block")
@@ -132,8 +149,21 @@ _PLAIN = """, b AS (SELECT tenant, block, count(*) AS n_records, min(event_id) A
 hashed AS (SELECT *, sha256(tenant || '|' || block || '|' || root || '|' || n_records) AS block_hash FROM b),
 linked AS (SELECT *, coalesce(lag(block_hash) OVER (PARTITION BY tenant ORDER BY block), repeat('0', 64)) AS previous FROM hashed)"""
 
+_WATCH = """, w AS (
+  SELECT tenant AS chain, block AS height, block_hash AS hash, CASE WHEN tenant % 6 = 1 AND block = 1 THEN sha256(previous) ELSE previous END AS stated,
+    CASE WHEN tenant % 3 = 0 AND (tenant + block) % 19 = 7 THEN 'SIGNATURE_INVALID' WHEN (tenant + 3 * block) % 17 = 5 THEN 'HASH_MISMATCH' END AS own
+  FROM linked WHERE NOT (tenant % 4 = 0 AND block = 2)
+), before AS (
+  SELECT *, coalesce(lag(height) OVER v, -1) + 1 AS due, coalesce(lag(hash) OVER v, repeat('0', 64)) AS link FROM w WINDOW v AS (PARTITION BY chain ORDER BY height)
+), faults AS (
+  SELECT chain, height, CASE WHEN own IS NOT NULL THEN own WHEN height <> due THEN 'HEIGHT_GAP' WHEN stated <> link THEN 'CHAIN_BREAK' END AS fault,
+    CASE WHEN own IS NOT NULL THEN NULL WHEN height <> due THEN due::VARCHAR WHEN stated <> link THEN link END AS expected,
+    CASE WHEN own IS NOT NULL THEN NULL WHEN height <> due THEN height::VARCHAR WHEN stated <> link THEN stated END AS actual
+  FROM before
+), watched AS (SELECT * FROM faults f WHERE NOT EXISTS (FROM faults e WHERE e.chain = f.chain AND e.height < f.height AND e.fault IS NOT NULL))"""
+
 QUERIES = {f.__name__: f for f in (
-    ch_build, ch_verify, ch_first_break, ch_record_hash, ch_blocks, ch_merkle, ch_inclusion, ch_block_chain, ch_block_faults, ch_unanchored, ch_quorum, ch_compare, ch_replay_state, ch_custody, ch_tail, ch_iso_nanos,
+    ch_build, ch_verify, ch_first_break, ch_record_hash, ch_blocks, ch_merkle, ch_inclusion, ch_block_chain, ch_block_faults, ch_watch, ch_watch_report, ch_unanchored, ch_quorum, ch_compare, ch_replay_state, ch_custody, ch_tail, ch_iso_nanos,
 )}
 
 ORACLES = {
@@ -149,6 +179,9 @@ SELECT tenant, block, coalesce(lag(block_hash) OVER (PARTITION BY tenant ORDER B
     "ch_block_faults": f"""WITH {_BLOCKS}{_PLAIN}, changed AS (SELECT tenant, block, previous, CASE WHEN tenant % 6 = 0 AND block = 0 THEN sha256(block_hash) ELSE block_hash END AS block_hash FROM linked WHERE NOT (tenant % 4 = 0 AND block = 1)),
 judged AS (SELECT tenant, block, CASE WHEN block <> coalesce(lag(block) OVER w, -1) + 1 THEN 'height_gap' WHEN previous <> coalesce(lag(block_hash) OVER w, repeat('0', 64)) THEN 'link_break' END AS fault FROM changed WINDOW w AS (PARTITION BY tenant ORDER BY block))
 FROM judged WHERE fault IS NOT NULL""",
+    "ch_watch": f"WITH {_BLOCKS}{_PLAIN}{_WATCH} FROM watched",
+    "ch_watch_report": f"""WITH {_BLOCKS}{_PLAIN}{_WATCH} SELECT chain, count(*) AS checked, count(*) FILTER (WHERE fault IS NULL) AS passed, count(fault) = 0 AS chain_valid,
+  max(fault) AS reason, max(height) FILTER (WHERE fault IS NOT NULL) AS height, max(expected) AS expected, max(actual) AS actual FROM watched GROUP BY chain""",
     "ch_unanchored": f"WITH {_BLOCKS}{_PLAIN} SELECT tenant, block FROM linked WHERE tenant % 3 = 0",
     "ch_quorum": """WITH s AS (SELECT event_id // 10 AS checkpoint, user_id % 40 AS signer, event_id % 23 <> 0 AND user_id % 40 < 36 AS good FROM events),
 g AS (SELECT checkpoint, signer, count(*) AS n, bool_and(good) AS good FROM s GROUP BY ALL), c AS (SELECT checkpoint, count(*) FILTER (WHERE good) AS signers, count(*) FILTER (WHERE NOT good OR n > 1) AS rejected FROM g GROUP BY checkpoint)
