@@ -16,7 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallystone.functions.canon import canonical_json
 from tallystone.functions.scalars import stable_id
+from tallystone.session import share_package
 
 GENESIS = "0" * 64
 BLOCK_RECORDS = 100
@@ -123,8 +125,8 @@ def proof_holds():
 
 
 def _entry_json(fields: list[str]):
-    """Canonical JSON of the named columns: keys in order, no blanks, nulls kept."""
-    return F.to_json(F.struct(*(F.col(f).alias(f) for f in sorted(fields))), {"ignoreNullFields": "false"})
+    """Canonical JSON of the named columns: keys in order, no blanks, nulls kept, numbers and escapes as ``canon`` writes them."""
+    return canonical_json(F.to_json(F.struct(*(F.col(f).alias(f) for f in sorted(fields))), {"ignoreNullFields": "false"}))
 
 
 def build_ledger(entries: DataFrame, fields: list[str]) -> DataFrame:
@@ -138,19 +140,22 @@ def build_ledger(entries: DataFrame, fields: list[str]) -> DataFrame:
                 if key != ledger:
                     ledger, last = key, "GENESIS"
                 before.append(last)
-                last = sha256(f"{head}{last}{tail}".encode()).hexdigest()
+                last = sha256(f'{{{head}"prev_hash":"{last}"{tail}}}'.encode()).hexdigest()
                 hashes.append(last)
             yield batch.drop(columns=["_head", "_tail"]).assign(prev_hash=before, hash=hashes)
 
-    mark = "<prev_hash>"  # stands where the hash comes
-    parts = F.split(_entry_json([*fields, "prev_hash"]), mark)
-    rows = entries.withColumn("prev_hash", F.lit(mark)).withColumn("_head", parts[0]).withColumn("_tail", parts[1]).drop("prev_hash")
+    share_package(entries.sparkSession)
+    # What stands before prev_hash among the keys in order, and what behind it.
+    inner = lambda some: F.substring(json := _entry_json(some), F.lit(2), F.length(json) - 2) if some else F.lit("")
+    head, tail = [f for f in fields if f < "prev_hash"], [f for f in fields if f > "prev_hash"]
+    rows = entries.withColumn("_head", F.concat(inner(head), F.lit("," if head else ""))).withColumn("_tail", F.concat(F.lit("," if tail else ""), inner(tail)))
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in entries.schema.fields)
     return rows.repartition("ledger").sortWithinPartitions("ledger", "seq").mapInPandas(fold, f"{kinds}, prev_hash string, hash string")
 
 
 def ledger_faults(ledger: DataFrame, fields: list[str]) -> DataFrame:
     """The first entry of each ledger that fails: no hashes, prev_hash not the hash of the entry before, or another hash than its own."""
+    share_package(ledger.sparkSession)
     own = F.sha2(_entry_json([*fields, "prev_hash"]), 256)
     rows = with_previous(ledger.withColumn("_own", own), "ledger", "seq", "hash")
     fault = (
