@@ -134,7 +134,7 @@ class PerfectHash:
         return self.values[slot] if self.keys[slot] == key else None
 
 
-def _byte_letters() -> dict[str, int]:
+def byte_letters() -> dict[str, int]:
     """The printable letter that byte-level JSON vocabularies write for each byte."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     others = [b for b in range(256) if b not in plain]
@@ -147,7 +147,7 @@ class Counter(dict):
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        letters = _byte_letters()
+        letters = byte_letters()
         as_bytes = lambda s: bytes(letters[c] for c in s)
         merges = (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])
         self.pairs = {(as_bytes(a), as_bytes(b)): i for i, (a, b) in enumerate(merges)}

@@ -84,8 +84,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op11_token_files(spark: SparkSession, sf_dir: str, end: int = 1) -> DataFrame:
     path = new_folder(spark, "tokens")
-    # This vocabulary's tokenizer drops white space, so chunks between blanks are encoded apart.
-    tokenfile.write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end, separable=True)
+    tokenfile.write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end)
     return tokenfile.read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 

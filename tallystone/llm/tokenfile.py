@@ -20,6 +20,7 @@ on reading; doc_ids must be whole numbers.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -37,15 +38,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tallystone.llm.textbatch import slices
+from tallystone.llm.bpe import byte_letters
+from tallystone.llm.textbatch import slices, text_bytes
 from tallystone.session import share_package
 
 FRAME_TOKENS = 1 << 16
 FILE_TOKENS = 1 << 26
 LEVEL = 3
-#: Chunks of texts are remembered up to so many, of so many characters, then forgotten together.
-CACHE = 200_000
+#: Pieces of texts are remembered up to so many, of so many bytes, then forgotten together.
+CACHE = 400_000
 LONGEST = 48
+#: Texts are encoded some bytes at a time.
+RUN_BYTES = 8_000_000
 
 # Fixed values of the zstandard and seekable formats.
 SKIPPABLE_DOCUMENTS = 0x184D2A5D
@@ -53,38 +57,122 @@ SKIPPABLE_SEEK_TABLE = 0x184D2A5E
 SEEK_TABLE_END = 0x8F92EAB1
 CHECKSUMS = 0x80
 
+#: Fixed value: how the tokenizers of this kind split lower-cased texts.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+_BLANK, _LETTER, _DIGIT, _SYMBOL, _WHOLE = range(5)
+_KINDS = np.full(256, _WHOLE, np.uint8)
+_KINDS[33:127] = _SYMBOL
+_KINDS[[9, 10, 11, 12, 13, 32]] = _BLANK
+_KINDS[48:58] = _DIGIT
+_KINDS[97:123] = _LETTER
+_KINDS[[39, 124]] = _WHOLE
+#: First bytes of U+00C0 to U+027F and of U+0400 to U+047F; a multiplication and a division sign, and the capital whose lower case is two code points.
+_LEADS = np.zeros(256, bool)
+_LEADS[0xC3:0xCA] = _LEADS[0xD0:0xD2] = True
+_NO_LETTERS = np.array([0xC397, 0xC3B7, 0xC4B0])
+_LETTERS = re.compile(rb"(?:[a-z]|[\xc3-\xc9\xd0\xd1][\x80-\xbf])+")
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
 _FILES = "part int, seq int, file string, n_docs long, n_tokens long, n_bytes long, first_id long, last_id long"
 
 
+def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The pieces of texts (UTF-8, one behind the other), and how many of them stand before each text and its end.
+
+    Between ASCII blanks, runs of letters, single digits and runs of symbols are what the word pattern takes apart, so
+    each is encoded as in the whole, A-Z lower-cased. Letters are those of ASCII and of the blocks in which all two-byte
+    code points are letters that compose with nothing. A run between blanks that holds an apostrophe, a bar (special
+    strings have one), a control character or another code point stays one piece as it is.
+    """
+    low = _LOWER[data]
+    kind = _KINDS[low]
+    lead = np.flatnonzero(_LEADS[data[:-1]])
+    lead = lead[~np.isin(data[lead].astype(np.int32) << 8 | data[lead + 1], _NO_LETTERS)]
+    kind[lead] = kind[lead + 1] = _LETTER
+    solid = kind != _BLANK
+    parted = np.zeros(len(low), bool)  # the byte before is a blank or of another text
+    parted[1:] = ~solid[:-1]
+    parted[offsets[:-1][offsets[:-1] < len(low)]] = True
+    runs = np.flatnonzero(solid & parted)
+    changed = parted.copy()
+    changed[1:] |= kind[1:] != kind[:-1]
+    starts = np.flatnonzero(solid & (changed | (kind == _DIGIT)))
+    if len(runs):
+        whole = np.add.reduceat(kind == _WHOLE, runs) > 0
+        run = np.searchsorted(runs, starts, side="right") - 1
+        starts = starts[~whole[run] | (starts == runs[run])]
+        as_is = np.repeat(whole, np.diff(runs, append=len(low)))
+        low[runs[0] :][as_is] = data[runs[0] :][as_is]
+    # Pieces cover all bytes but the blanks, so they lie one behind the other once those are gone.
+    places = np.concatenate([[0], np.cumsum(solid)])
+    bounds = np.append(places[starts], places[-1]).astype(np.int32)
+    spelled = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(low[solid])])
+    return spelled, np.searchsorted(starts, offsets)
+
+
 class Encoder(dict):
-    """Texts to packed ids by a tokenizer file; chunk of a text -> its ids.
+    """Texts to packed ids by a tokenizer file; piece of a text -> its ids.
 
-    ``separable`` says that the tokenizer drops white space and joins nothing across it: texts are then encoded chunk
-    by chunk between ASCII blanks, and a chunk that was seen before is not encoded again.
+    A tokenizer that lower-cases, drops white space and splits by the word pattern is given each different piece of the
+    texts once (as long as it is remembered), any other the whole texts.
     """
 
-    def __init__(self, path: str, separable: bool = False):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        self.tokenizer, self.separable = Tokenizer.from_file(path), separable
-
-    def _fresh(self, texts: list[str]) -> list[bytes]:
+        self.tokenizer = Tokenizer.from_file(path)
+        self.letters = {b: letter for letter, b in byte_letters().items()}
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        parts = lambda key, inner: [p for p in ((spec.get(key) or {}).get(inner) or [])]
+        before = parts("pre_tokenizer", "pretokenizers")
+        self.by_pieces = (
+            [p["type"] for p in parts("normalizer", "normalizers")] == ["NFC", "Replace", "Lowercase"]
+            and [p["type"] for p in before] == ["Split", "ByteLevel"]
+            and before[0]["pattern"] == {"Regex": WORD_PATTERN}
+            and all("|" in t["content"] and not t["normalized"] for t in spec["added_tokens"])
+        )
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def packed(self, texts: list[str | None]) -> list[bytes]:
+    def _learn(self, new: list[bytes]) -> None:
+        others, pack = [], struct.Struct("<I").pack
+        merged = self.tokenizer.model.tokenize
+        for w in new:
+            # A run of lower-case letters is one word, and normal as it is: the library's model takes it from there.
+            if w.isalpha() or (_LETTERS.fullmatch(w) and (s := w.decode()).isalpha() and s == s.lower()):
+                self[w] = b"".join([pack(t.id) for t in merged(w.decode("latin-1").translate(self.letters))])
+            else:
+                others.append(w)
+        self.update(zip(others, self._whole([w.decode() for w in others]), strict=True))
+
+    def packed(self, column: pa.Array) -> list[bytes]:
         """The ids of each text, four bytes an id."""
-        if not self.separable:
-            return self._fresh([t or "" for t in texts])
-        chunks = [(t or "").encode().split() for t in texts]
-        new = [*{c for row in chunks for c in row} - self.keys()]
+        if not self.by_pieces:
+            return self._whole(column.fill_null("").to_pylist())
+        data, offsets = text_bytes(column)
+        spelled, first = pieces(data, offsets)
+        coded = spelled.dictionary_encode()
+        known = coded.dictionary.to_pylist()
+        new = [w for w in known if w not in self]
         if len(self) + len(new) > CACHE:
             self.clear()
-            new = [*{c for row in chunks for c in row}]
-        self.update(zip(new, self._fresh([c.decode() for c in new]), strict=True))
-        found = [b"".join(map(self.__getitem__, row)) for row in chunks]
-        for c in new:
-            if len(c) > LONGEST:
-                del self[c]
-        return found
+            new = known
+        self._learn(new)
+        ids = [*map(self.__getitem__, known)]
+        for w in new:
+            if len(w) > LONGEST:
+                del self[w]
+        each = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat, begins = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(each) - each
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        sizes = each[at]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        out = flat[np.repeat(begins[at] - ends[:-1], sizes) + np.arange(ends[-1])].tobytes()
+        cuts = (4 * ends[first]).tolist()
+        return [out[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 encoder = lru_cache(maxsize=2)(Encoder)
@@ -211,8 +299,8 @@ class Reader:
         self.file.close()
 
 
-def _write_batches(batches: Iterator[pa.RecordBatch], path: str, tokenizer: str, end: int | None, separable: bool, frame_tokens: int, file_tokens: int) -> Iterator[pa.RecordBatch]:
-    codec, task = encoder(tokenizer, separable), TaskContext.get()
+def _write_batches(batches: Iterator[pa.RecordBatch], path: str, tokenizer: str, end: int | None, frame_tokens: int, file_tokens: int) -> Iterator[pa.RecordBatch]:
+    codec, task = encoder(tokenizer), TaskContext.get()
     tail = b"" if end is None else struct.pack("<I", end)
     writer, rows, name = None, [], ""
 
@@ -221,9 +309,8 @@ def _write_batches(batches: Iterator[pa.RecordBatch], path: str, tokenizer: str,
         return dict(part=task.partitionId(), seq=len(rows), file=name, n_docs=len(writer.ids), n_tokens=writer.tokens, n_bytes=writer.bytes, first_id=writer.ids[0], last_id=writer.ids[-1])
 
     for whole in batches:
-        for batch in slices(whole, "text"):
-            texts = batch.column("text").to_pylist()
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), codec.packed(texts), strict=True):
+        for batch in slices(whole, "text", RUN_BYTES):
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), codec.packed(batch.column("text")), strict=True):
                 if writer is None:
                     name = f"{task.partitionId():06d}-{len(rows):04d}-{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}.ids.zst"
                     writer = Writer(f"{path}/{name}", frame_tokens)
@@ -239,7 +326,7 @@ def _write_batches(batches: Iterator[pa.RecordBatch], path: str, tokenizer: str,
 
 
 def write_tokens(
-    docs: DataFrame, path: str, tokenizer: str, end: int | None = None, separable: bool = False, frame_tokens: int = FRAME_TOKENS, file_tokens: int = FILE_TOKENS
+    docs: DataFrame, path: str, tokenizer: str, end: int | None = None, frame_tokens: int = FRAME_TOKENS, file_tokens: int = FILE_TOKENS
 ) -> None:
     """Write the ids of all documents (doc_id, text) to a new folder, in ascending order of doc_id; ``end`` closes each document."""
     spark = docs.sparkSession
@@ -251,7 +338,7 @@ def write_tokens(
     order = [F.col("doc_id").asc_nulls_first(), F.col("_text"), F.col("_row")]
     keyed = rows.withColumn("_text", F.xxhash64("text")).withColumn("_row", F.monotonically_increasing_id())
     dealt = keyed.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
-    found = dealt.mapInArrow(lambda b: _write_batches(b, path, tokenizer, end, separable, frame_tokens, file_tokens), _FILES)
+    found = dealt.mapInArrow(lambda b: _write_batches(b, path, tokenizer, end, frame_tokens, file_tokens), _FILES)
     files = sorted(map(tuple, found.collect()))  # a row a file
     before, listed = 0, []
     for f in files:

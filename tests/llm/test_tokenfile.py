@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import zstandard
 from conftest import ODD
@@ -47,7 +48,7 @@ def test_round_trip(spark, docs_of, library, tmp_path, small):
     """Also with frames and files far smaller than the documents."""
     docs = docs_of(TEXTS, extra=True).repartition(3)
     limits = dict(frame_tokens=7, file_tokens=500) if small else {}
-    tokenfile.write_tokens(docs, str(tmp_path / "t"), PATH, 1, True, **limits)
+    tokenfile.write_tokens(docs, str(tmp_path / "t"), PATH, 1, **limits)
     want = plain_version(library, enumerate(TEXTS))
     assert sorted(collected(tokenfile.read_tokens(spark, str(tmp_path / "t")))) == want
     files = tokenfile.token_files(spark, str(tmp_path / "t"))
@@ -57,18 +58,40 @@ def test_round_trip(spark, docs_of, library, tmp_path, small):
     assert sorted(collected(tokenfile.read_tokens(spark, str(tmp_path / "t"), wanted))) == [w for w in want if w[0] in (3, 6, 16)]
 
 
-def test_chunks_between_blanks_are_encoded_as_in_the_whole(library):
+def test_pieces_are_encoded_as_in_the_whole(library):
     rng = random.Random(4)
-    letters = ["a", "B", "é", "é", "́", "日", "7", "'s", "'", "-", "<|", "|>", "\U0001f600", "Σ", "İ", *" \t\n\x0b\x0c\r\x1c\x85  ", "<|endoftext|>"]
-    texts = ["".join(rng.choices(letters, k=rng.randrange(30))) for _ in range(3000)]
-    found = tokenfile.Encoder(PATH, separable=True).packed(texts)
-    assert found == [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch(texts, add_special_tokens=False)]
+    letters = [*"abstmdrelvABS", "\u00e9", "e\u0301", "\u0301", "\u65e5", "7", "42", "'s", "'ll", "'", "-", "<", "|", ".", "...", "<|", "|>", "\U0001f600", "\u03a3", "\u0130", "\u2014", "\x00", "\x7f", "\u00df", "\u00d7", "\u00f7", "\u00c4", "\u017f", "\u01c5", "\u0149", "\u027f", "\u0431", "\u0419", "\u0482", "\u0280", "\uf900"]
+    letters += [*" \t\n\x0b\x0c\r", "\x1c", "\x85", "\xa0", "\u2003", "<|endoftext|>", "<|ENDOFTEXT|>"]
+    texts = ["".join(rng.choices(letters, k=rng.randrange(30))) for _ in range(12000)] + TEXTS
+    codec = tokenfile.Encoder(PATH)
+    assert codec.by_pieces
+    want = [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert codec.packed(pa.array(texts)) == want
+    assert codec.packed(pa.array(texts)) == want  # from memory
+    assert codec.packed(pa.array(texts).slice(100, 50)) == want[100:150]
+    assert codec.packed(pa.array([], pa.string())) == []
+
+
+def test_memory_is_bounded(library, monkeypatch):
+    monkeypatch.setattr(tokenfile, "CACHE", 20)
+    codec = tokenfile.Encoder(PATH)
+    texts = [" ".join(f"w{chr(97 + i % 26)}{chr(97 + j)}x" for j in range(12)) + " " + "long" * 20 for i in range(60)]
+    for i in range(0, 60, 5):
+        assert codec.packed(pa.array(texts[i : i + 5])) == [np.array(library.encode(t).ids, "<u4").tobytes() for t in texts[i : i + 5]]
+        assert len(codec) <= 70 and max(map(len, codec)) <= tokenfile.LONGEST
+
+
+def test_other_tokenizers_get_whole_texts():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    codec = tokenfile.Encoder(path)
+    assert not codec.by_pieces
+    assert codec.packed(pa.array(TEXTS)) == [np.array(Tokenizer.from_file(path).encode(t or "").ids, "<u4").tobytes() for t in TEXTS]
 
 
 def test_null_ids_repeats_and_ties(spark, library, tmp_path):
     rows = [(None, "no id"), (5, "b text"), (5, "a text"), (5, "a text"), (1, None), (1, None), (9, "last"), (None, "")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("ids", F.lit("clash")).withColumn("start", F.lit(3))
-    tokenfile.write_tokens(df, str(tmp_path / "t"), PATH, None, True, frame_tokens=2, file_tokens=3)
+    tokenfile.write_tokens(df, str(tmp_path / "t"), PATH, None, frame_tokens=2, file_tokens=3)
     got = sorted(collected(tokenfile.read_tokens(spark, str(tmp_path / "t"))), key=lambda r: (r[1], r[2], r[0] or 0))
     assert sorted((r[0] or -1, r[3]) for r in got) == sorted((i or -1, w[3]) for (i, _), w in zip(rows, plain_version(library, rows, None), strict=True))
     assert [r[0] for r in got if r[2]] == sorted((r[0] for r in got if r[2]), key=lambda i: -1 if i is None else i)  # ascending, nulls first
@@ -78,7 +101,7 @@ def test_null_ids_repeats_and_ties(spark, library, tmp_path):
 
 
 def test_empty_table(spark, docs_of, tmp_path):
-    tokenfile.write_tokens(docs_of([]), str(tmp_path / "t"), PATH, 1, True)
+    tokenfile.write_tokens(docs_of([]), str(tmp_path / "t"), PATH, 1)
     assert tokenfile.token_files(spark, str(tmp_path / "t")) == []
     assert tokenfile.read_tokens(spark, str(tmp_path / "t")).collect() == []
     assert tokenfile.read_tokens(spark, str(tmp_path / "t"), spark.createDataFrame([(1,)], "doc_id long")).collect() == []
