@@ -9,8 +9,8 @@ from tallystone.session import table
 
 
 def _edges(spark, sf_dir):
-    """Parts point at others of their block of 30, which makes cycles, and some at a later block, which makes none."""
-    p = F.col("p_partkey").cast("long")
+    """Documents point at others of their block of 30, which makes cycles, and some at a later block, which makes none."""
+    p = F.col("doc_id").cast("long")
     block, i = F.floor(p / 30), p % 30
     targets = F.array_compact(
         F.array(
@@ -20,7 +20,7 @@ def _edges(spark, sf_dir):
             F.when((i == 0) & (block % 5 == 2), p),
         )
     )
-    return table(spark, sf_dir, "part").select(p.alias("a"), F.explode(targets).alias("b"))
+    return table(spark, sf_dir, "documents").select(p.alias("a"), F.explode(targets).alias("b"))
 
 
 def pl_components(spark, sf_dir):
@@ -33,7 +33,7 @@ def pl_witnesses(spark, sf_dir):
 
 
 # Edges that leave a block go up, so no cycle has one, and reach is looked for inside blocks alone.
-_REACH = """WITH RECURSIVE p AS (SELECT p_partkey::BIGINT AS p, p_partkey::BIGINT // 30 AS k, p_partkey::BIGINT % 30 AS i FROM part), e AS (
+_REACH = """WITH RECURSIVE p AS (SELECT doc_id AS p, doc_id // 30 AS k, doc_id % 30 AS i FROM documents), e AS (
   SELECT p AS a, k * 30 + (i * 7 + 3) % 30 AS b FROM p WHERE p % 4 <> 0 UNION SELECT p, k * 30 + (i * i + k) % 30 FROM p WHERE p % 3 = 1 UNION SELECT p, p FROM p WHERE i = 0 AND k % 5 = 2
 ), r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), s AS MATERIALIZED (SELECT x.a AS node, least(x.a, min(x.b)) AS component FROM r x JOIN r y ON x.b = y.a AND y.b = x.a GROUP BY x.a)"""
 
