@@ -24,12 +24,35 @@ def kind_of(value: Column) -> Column:
     return F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
 
 
+def _balanced(text: Column) -> Column:
+    """The first object or list of a text, from its opening bracket to the one that closes it outside of strings; null if none closes."""
+    at = F.regexp_instr(text, F.lit(r"[\[{]"))
+    rest = F.substring(text, at, F.length(text))
+    tokens = F.regexp_extract_all(rest, F.lit(r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|[\[{]|[\]}]|[^"\[\]{}]++|"'), F.lit(0))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("length"), F.lit(False).alias("done"))
+    opens, closes = (lambda t: t.isin("{", "[")), (lambda t: t.isin("}", "]"))
+
+    def step(acc: Column, t: Column) -> Column:
+        depth = acc["depth"] + opens(t).cast("int") - closes(t).cast("int")
+        return F.when(acc["done"], acc).otherwise(F.struct(depth.alias("depth"), (acc["length"] + F.length(t)).alias("length"), (closes(t) & (depth == 0)).alias("done")))
+
+    end = F.aggregate(tokens, start, step)
+    return F.when((at > 0) & end["done"], F.substring(rest, F.lit(1), end["length"]))
+
+
+def parsed(text: Column) -> Column:
+    """The VARIANT of a text that is JSON from end to end, else null (the parser by itself passes over what follows a value)."""
+    core = F.regexp_replace(text, r"^\s+|\s+$", "")
+    scalar = core.rlike(r'^(?:"[^"\\]*+(?:\\.[^"\\]*+)*+"|true|false|null|-?[0-9][0-9.eE+-]*)$')
+    return F.when(F.when(core.rlike(r"^[\[{]"), _balanced(core).eqNullSafe(core)).otherwise(scalar), F.try_parse_json(core))
+
+
 def leaves(rows: DataFrame, key: str, text: str, drop: Sequence[str] = ()) -> DataFrame:
     """key, path and value (as JSON) of every scalar and empty container of the texts; without ``drop``, names at the top.
 
     A null text, or one that is no JSON, has no rows.
     """
-    front = rows.select(F.col(key).alias("_id"), F.lit("$").alias("path"), F.try_parse_json(F.col(text)).alias("v")).where("v IS NOT NULL")
+    front = rows.select(F.col(key).alias("_id"), F.lit("$").alias("path"), parsed(F.col(text)).alias("v")).where("v IS NOT NULL")
     out, top = None, True
     while True:
         empty = F.to_json("v").isin("{}", "[]")
@@ -94,9 +117,8 @@ def semantic_hashes(rows: DataFrame, key: str, text: str, drop: Sequence[str] =
     lines = leaves(rows, key, text, drop).select(key, F.concat("path", F.lit("="), "value").alias("_l"))
     # As many lines as the record has values.
     digests = lines.groupBy(key).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("_l")), "\n"), 256).alias("semantic_hash"))
-    parsed = F.try_parse_json(F.col(text)).isNotNull()
     # A record all of whose names are dropped equals an empty one.
-    return rows.select(key, parsed.alias("_p")).join(digests, key, "left").select(key, F.coalesce("semantic_hash", F.when(F.col("_p"), F.sha2(F.lit("$={}"), 256))).alias("semantic_hash"))
+    return rows.select(key, parsed(F.col(text)).isNotNull().alias("_p")).join(digests, key, "left").select(key, F.coalesce("semantic_hash", F.when(F.col("_p"), F.sha2(F.lit("$={}"), 256))).alias("semantic_hash"))
 
 
 def equivalence_classes(hashes: DataFrame, key: str) -> DataFrame:
@@ -121,12 +143,11 @@ def layered(rows: DataFrame, key: str, text: str, forbidden_top: Sequence[str],
     in that order of layers is the reason. Statements (kind, content, source, confidence) are facts that are strings, the
     routing, "" if there is none, and interpretations that are strings; layers of other kinds are passed over.
     """
-    v = F.try_parse_json(F.col(text))
     layer = lambda name: F.try_variant_get(F.col("_v"), f"$.{name}_layer", "variant")
     get = lambda c, path, kind: F.try_variant_get(F.col(c), path, kind)
     is_object = lambda c: kind_of(F.col(c)) == "OBJECT"
     first = lambda keys, among: F.get(F.filter(keys, lambda k: k.isin(*among)), F.lit(0)) if among else F.lit(None).cast("string")
-    parts = rows.select(key, v.alias("_v"), F.json_object_keys(text).alias("_top")).select(key, "_v", "_top", layer("fact").alias("_f"), layer("classification").alias("_c"), layer("interpretation").alias("_i"))
+    parts = rows.select(key, parsed(F.col(text)).alias("_v"), F.json_object_keys(text).alias("_top")).select(key, "_v", "_top", layer("fact").alias("_f"), layer("classification").alias("_c"), layer("interpretation").alias("_i"))
     bad = lambda c: F.when(is_object(c), first(keys_at_any_depth(F.to_json(c)), forbidden))
     given = get("_c", "$.confidence", "variant")
     number = F.when(kind_of(given).isin("OBJECT", "ARRAY", "VOID"), None).otherwise(F.coalesce(given.try_cast("double"), F.when(given.try_cast("string") == "true", 1.0).when(given.try_cast("string") == "false", 0.0)))
@@ -170,7 +191,7 @@ def strict_traces(lines: DataFrame, key: str, line: str) -> DataFrame:
     zarc_event put in, names in order. Blank lines are left out.
     """
     p, get = F.col("_p"), lambda path, kind="variant": F.try_variant_get(F.col("_v"), path, kind)
-    rows = lines.where(F.trim(F.col(line)) != "").select(key, F.try_parse_json(F.col(line)).alias("_v")).withColumn("_p", get("$.payload"))
+    rows = lines.where(F.trim(F.col(line)) != "").select(key, parsed(F.col(line)).alias("_v")).withColumn("_p", get("$.payload"))
     a_string = lambda name: F.when(get(f"$.{name}").isNull(), f"{name} is missing").when(kind_of(get(f"$.{name}")) != "STRING", f"{name} must be a string")
     payload = F.when(p.isNull() | (kind_of(p) == "VOID"), F.parse_json(F.lit("{}"))).when(kind_of(p) == "OBJECT", p)
     reason_of = F.try_variant_get(p, "$.reason", "variant")
@@ -203,22 +224,6 @@ def strict_traces(lines: DataFrame, key: str, line: str) -> DataFrame:
     )
 
 
-def _balanced(text: Column) -> Column:
-    """The first object or list of a text, from its opening bracket to the one that closes it outside of strings; null if none closes."""
-    at = F.regexp_instr(text, F.lit(r"[\[{]"))
-    rest = F.substring(text, at, F.length(text))
-    tokens = F.regexp_extract_all(rest, F.lit(r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|[\[{]|[\]}]|[^"\[\]{}]++|"'), F.lit(0))
-    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("length"), F.lit(False).alias("done"))
-    opens, closes = (lambda t: t.isin("{", "[")), (lambda t: t.isin("}", "]"))
-
-    def step(acc: Column, t: Column) -> Column:
-        depth = acc["depth"] + opens(t).cast("int") - closes(t).cast("int")
-        return F.when(acc["done"], acc).otherwise(F.struct(depth.alias("depth"), (acc["length"] + F.length(t)).alias("length"), (closes(t) & (depth == 0)).alias("done")))
-
-    end = F.aggregate(tokens, start, step)
-    return F.when((at > 0) & end["done"], F.substring(rest, F.lit(1), end["length"]))
-
-
 def salvaged(text: Column, repair: bool = True) -> Column:
     """The JSON object or list that a text holds amid prose, as it stands there; null if there is none.
 
@@ -226,12 +231,12 @@ def salvaged(text: Column, repair: bool = True) -> Column:
     do not count); the first that parses is taken. With ``repair``, failing that, the stretch from the first brace to
     the last is tried with single quotes made double and commas before a closing bracket taken out.
     """
-    container = lambda c: kind_of(F.try_parse_json(c)).isin("OBJECT", "ARRAY")
-    fenced = F.transform(F.regexp_extract_all(text, F.lit(r"(?s)```(?:[Jj][Ss][Oo][Nn])?\s*(.*?)\s*```"), F.lit(1)), F.trim)
+    container = lambda c: kind_of(parsed(c)).isin("OBJECT", "ARRAY")
+    fenced = F.transform(F.regexp_extract_all(text, F.lit(r"(?s)```(?:[Jj][Ss][Oo][Nn])?\s*(.*?)\s*```"), F.lit(1)), lambda x: F.btrim(x))
     candidates = F.concat(fenced, F.array(F.trim(text)), F.array_compact(F.array(_balanced(text))))
     found = F.get(F.filter(candidates, container), F.lit(0))
     if not repair:
         return found
     braced = F.regexp_extract(text, r"(?s)\{.*\}", 0)
     mended = F.regexp_replace(F.regexp_replace(braced, r"'([^'\\]*)'", '"$1"'), r",(\s*[}\]])", "$1")
-    return F.coalesce(found, F.when(kind_of(F.try_parse_json(mended)) == "OBJECT", mended))
+    return F.coalesce(found, F.when(kind_of(parsed(mended)) == "OBJECT", mended))

@@ -16,10 +16,17 @@ from pyspark.sql import functions as F
 from tallystone.functions.lineage import cut
 
 BINS = 4_096
+#: Powers of two that a range spans at least if it is cut by powers.
+WIDE = 16.0
 #: Ranges are sent to all tasks up to so many rows; beyond it both sides are shuffled, a group's values in so many parts.
 BROADCAST_ROWS, SALTS = 100_000, 32
 
 
+def _power(v: Column) -> Column:
+    """The power of two of a number, from 26 up for positive ones and from -26 down for negative ones; 0 for 0."""
+    return F.when(v == 0, 0.0).otherwise(F.signum(v) * (F.log2(F.when(v == 0, 1.0).otherwise(F.abs(v))) + 1100.0))
+
+
 def ranked(values: DataFrame, key: str, value: str, wanted: dict[str, Column], bins: int = BINS) -> DataFrame:
     """key, n and a column for each wanted rank: the value at that place, from 0, of the group's values in ascending order.
 
@@ -34,9 +41,11 @@ def ranked(values: DataFrame, key: str, value: str, wanted: dict[str, Column], b
     done, open_ = asked.where("_low = _high"), cut(asked.where("_low < _high"))
     while not open_.isEmpty():
         ranges = open_.select(F.col("_k").alias("_key"), "_low", "_high").distinct()
-        # Halves first: the width of a range may be more than a double holds.
-        width = F.col("_high") / 2 - F.col("_low") / 2
-        bin_ = F.least(F.floor((F.col("_v") / 2 - F.col("_low") / 2) / width * bins), F.lit(bins - 1)).cast("int")
+        # Ranges over many powers of two are cut by these first (the logarithm is monotone), then evenly.
+        low, high, v = F.col("_low"), F.col("_high"), F.col("_v")
+        wide = _power(high) - _power(low) > WIDE
+        share = F.when(wide, (_power(v) - _power(low)) / (_power(high) - _power(low))).otherwise((v - low) / (high - low))
+        bin_ = F.least(F.floor(share * bins), F.lit(bins - 1)).cast("int")
         same, inside = F.col("_k").eqNullSafe(F.col("_key")), (F.col("_v") >= F.col("_low")) & (F.col("_v") <= F.col("_high"))
         if ranges.count() <= BROADCAST_ROWS:
             met = rows.join(F.broadcast(ranges), same & inside)
