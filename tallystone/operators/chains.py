@@ -225,12 +225,14 @@ def block_checks(blocks: DataFrame, records: DataFrame, key: str) -> DataFrame:
     """The first block of each key that fails, with all that is wrong there: link, record count, Merkle root, integrity.
 
     Blocks state previous, record_count, merkle_root and integrity_hash; records (key, block, slot, h) are what is
-    there. A stated count of 0 is not compared; blocks without records keep to link and count.
+    there. A stated count of 0 is not compared; blocks without records keep to link and count. Where blocks have
+    signature_valid, false is a problem and null, a signature nobody checked, is none.
     """
     there = merkle_roots(records, key, "block").withColumnRenamed("root", "_root")
     rows = with_previous(blocks.withColumnRenamed("previous", "_stated"), key, "block", "integrity_hash").join(there, [key, "block"], "left")
     n = F.coalesce("n_records", F.lit(0))
     problems = F.array(
+        F.when(~F.col("signature_valid"), "SIGNATURE_INVALID") if "signature_valid" in blocks.columns else F.lit(None).cast("string"),
         F.when(F.col("_stated") != F.coalesce("previous.integrity_hash", F.lit(GENESIS)), "CHAIN_BREAK"),
         F.when((F.col("record_count") != n) & (F.col("record_count") != 0), "RECORD_COUNT_MISMATCH"),
         F.when(F.col("_root") != F.col("merkle_root"), "MERKLE_MISMATCH"),

@@ -8,7 +8,9 @@ and to order them, to search in them or to match them is an error.
 
 from __future__ import annotations
 
+import json
 from functools import reduce
+from hashlib import sha256
 from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
@@ -16,6 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, NumericType, StringType, StructType
 
+from tallystone.functions.canon import canonical
 from tallystone.operators.chains import with_previous
 
 OPS = {
@@ -99,6 +102,24 @@ def missing(spec: dict, schema: StructType | None = None) -> Column:
     return F.col(spec["field"]).isNull()
 
 
+def rule_set(document: dict) -> tuple[str, list[dict], str]:
+    """Version, rules (id, when, verdict, reason) and hash of a rule-set document; an error if anything in it is not as it must be.
+
+    The hash is the SHA-256 of the document's canonical JSON, so it tells one policy from another whatever the order of names.
+    """
+    version, given = document.get("version"), document.get("rules")
+    if not isinstance(version, str) or not version or not isinstance(given, list) or not given:
+        raise ValueError("a rule set has a version and rules")
+    rules = []
+    for r in given:
+        then = r.get("then") if isinstance(r, dict) else None
+        if not isinstance(then, dict) or not isinstance(r.get("id"), str) or not r["id"] or "when" not in r or not isinstance(then.get("reason", ""), str):
+            raise ValueError(f"not a rule: {r}")
+        rules.append({"id": r["id"], "when": r["when"], "verdict": then.get("verdict"), "reason": then.get("reason", "")})
+    check_rules(rules)
+    return version, rules, sha256(canonical(json.dumps(document, default=str)).encode()).hexdigest()
+
+
 def check_rules(rules: list[dict]) -> None:
     """Rules have id, when and verdict; ids are unique and verdicts known."""
     ids = [r["id"] for r in rules]

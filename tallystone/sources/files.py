@@ -6,6 +6,7 @@ parsed where they are read.
 
 from __future__ import annotations
 
+import csv
 import email
 import io
 import sqlite3
@@ -13,6 +14,7 @@ import tempfile
 import zipfile
 from collections.abc import Iterator
 from email import policy
+from itertools import islice
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -118,6 +120,21 @@ def sqlite_samples(files: DataFrame, rows: int = 100) -> DataFrame:
     return _per_file(files, parse, "path string, table string, n int, row string")
 
 
+def csv_samples(files: DataFrame, rows: int = 5_000) -> DataFrame:
+    """The first rows of CSV files: path, n, cells. Bytes that are no UTF-8 are replaced; an empty or broken file gives what was read."""
+
+    def parse(content: bytes) -> list[tuple]:
+        out: list[tuple] = []
+        reader = csv.reader(io.TextIOWrapper(io.BytesIO(content), encoding="utf-8", errors="replace", newline=""))
+        try:
+            out += [(i, cells) for i, cells in enumerate(islice(reader, rows))]
+        except csv.Error:
+            pass
+        return out
+
+    return _per_file(files, parse, "path string, n int, cells array<string>")
+
+
 def tail(lines: DataFrame, n: int, level: str | None = None, source: str | None = None) -> DataFrame:
     """The newest n log rows (ts, level, source, message) of a level and source."""
     for column, value in (("level", level), ("source", source)):
