@@ -8,11 +8,11 @@ of them; the vectors there are ranked by exact cosine in double precision.
 
 Parts of more vectors than the sample can tell apart are cut again: each has a router of its own, fitted in a task on a
 bounded sample of the part (``MAX_PARTS`` routers at most, some 100 KB each, which are broadcast), so that there are up
-to ``MAX_PARTS`` squared parts. A query then goes to the most probable of them by the product of both probabilities.
+to ``MAX_PARTS`` squared parts, of ``PART_ROWS`` vectors each as long as these suffice (12.6 million vectors). A query then goes to the most probable of them by the product of both probabilities.
 
 Parts are searched in blocks: a part of many vectors (one vector may make up a third of the table) or of many queries
 is split, every block of its queries meets every block of its vectors, and the best of each pair are merged per query.
-The number of parts follows the number of vectors.
+The number of parts follows the root of the number of vectors, so tables of some hundred go through the router like any.
 
 Edge cases: vectors that are null, zero or hold null or non-finite components take no part, neither do null ids nor
 vectors of another length than most; fewer candidates than ``k`` give all of them; equal cosines are ordered by vec_id;
@@ -22,6 +22,7 @@ repeated is answered once; an empty table gives no rows; other columns are ignor
 
 from __future__ import annotations
 
+import math
 import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -44,7 +45,7 @@ MAX_PARTS = 128
 #: Parts are numbered by their first part times this and the part inside it.
 STRIDE = 1024
 COVER = 0.98
-PROBES = 4
+PROBES = 2
 BLOCK_ROWS = 1_024
 BLOCK_QUERIES = 1_024
 _GRAIN = 1 << 30
@@ -213,13 +214,12 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def fit(vectors: DataFrame, sample: int = SAMPLE, part_rows: int = PART_ROWS, max_parts: int = MAX_PARTS) -> Router | None:
-    """The router fitted on about ``sample`` vectors; None if one part is enough."""
+    """The router fitted on about ``sample`` vectors, into about half as many parts as the root of their number, at most
+    ``max_parts``; None for fewer vectors than two parts need."""
     total = vectors.count()
-    parts = 1
-    while parts < max_parts and parts * part_rows < total:
-        parts *= 2
-    if parts == 1:
+    if not total:
         return None
+    parts = min(max_parts, 1 << max(1, round(math.log2(math.sqrt(total) / 2))))
     drawn = vectors.where(F.pmod(F.xxhash64(F.lit("fit"), "vec_id"), F.lit(_GRAIN)) < int(min(1.0, sample / total) * _GRAIN))
     x = np.unique(_unit(_matrix(drawn.select("embedding").toArrow().column(0).combine_chunks())), axis=0)  # copies count once
     router = _fitted(x, parts)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import base64
 import hashlib
 import re
@@ -174,6 +175,29 @@ def test_nearest_recall_and_scores(spark, docs_of):
     assert hits >= 0.9 * 5 * 60
 
 
+@pytest.mark.parametrize("table", ["sf0.01", "sf0.1"])
+def test_given_tables_go_through_the_router(spark, small, table):
+    """Recall of at least 0.9 where not every query is compared with every vector."""
+    path = f"{os.path.dirname(small.rstrip('/'))}/{table}/embeddings.parquet"
+    if not os.path.exists(path):
+        pytest.skip(f"no {path}")
+    vectors = ann.usable(spark.read.parquet(path))
+    rows = vectors.orderBy("vec_id").toPandas()
+    x, ids = np.stack(rows["embedding"]).astype(float), rows["vec_id"].to_numpy()
+    router = ann.fit(vectors)
+    asked, homes = ann.probed(router, x), ann.home(router, x)
+    share = np.mean([np.isin(homes, a).mean() for a in asked])
+    assert len({*homes.tolist()}) >= 8 and share < 0.95
+    got = ann.nearest(vectors, vectors.where("vec_id % 50 = 0"), 5, router).toPandas()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = 0
+    for q, found in got.groupby("query_id"):
+        s = unit @ unit[ids == q][0]
+        s[ids == q] = -9
+        hits += len({*found.vec_id} & {*ids[np.argsort(-s)[:5]].tolist()})
+    assert hits >= 0.9 * 5 * (ids % 50 == 0).sum()
+
+
 def test_parts_inside_parts(spark):
     """Two levels of parts: every vector is indexed once, recall holds, and rows that share one id are dealt over blocks."""
     rng = np.random.default_rng(4)
