@@ -7,10 +7,15 @@ import tempfile
 from pyspark.sql import DataFrame
 
 
-def cut(df: DataFrame) -> DataFrame:
+#: Rows of a checkpoint file, where the number of rows is known.
+FILE_ROWS = 200_000
+
+
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Write ``df`` to the session's shared checkpoint folder and read it from there.
 
-    A folder is made only where none is set and all runs on one machine.
+    A folder is made only where none is set and all runs on one machine. ``rows``, an upper bound of the rows, keeps a
+    small table from being written as one file a shuffle partition.
     """
     spark = df.sparkSession
     context = spark.sparkContext
@@ -19,4 +24,4 @@ def cut(df: DataFrame) -> DataFrame:
         if not named and not context.master.startswith("local[") and context.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tallystone-checkpoints-"))
-    return df.checkpoint(eager=True)
+    return (df if rows is None else df.coalesce(1 + rows // FILE_ROWS)).checkpoint(eager=True)

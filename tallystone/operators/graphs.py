@@ -15,43 +15,43 @@ from tallystone.functions.lineage import cut
 TRIMS = 4
 
 
-def _trimmed(edges: DataFrame, rounds: int = TRIMS) -> DataFrame:
-    """Edges whose nodes have both a predecessor and a successor, after so many rounds at most."""
+def _trimmed(edges: DataFrame, rounds: int = TRIMS) -> tuple[DataFrame, int]:
+    """Edges whose nodes have both a predecessor and a successor, after so many rounds at most, and their number."""
     n = edges.count()
     for _ in range(rounds):
         if not n:
             break
         goes, comes = edges.select(F.col("a").alias("b")).distinct(), edges.select(F.col("b").alias("a")).distinct()
-        edges = cut(edges.join(goes, "b", "left_semi").join(comes, "a", "left_semi").select("a", "b"))
+        edges = cut(edges.join(goes, "b", "left_semi").join(comes, "a", "left_semi").select("a", "b"), n)
         before, n = n, edges.count()
         if n == before:
             break
-    return edges
+    return edges, n
 
 
-def _least_ancestors(edges: DataFrame) -> DataFrame:
+def _least_ancestors(edges: DataFrame, n: int) -> DataFrame:
     """(node, color): the least node that leads to each node, itself included."""
     nodes = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b"))).distinct()
-    colors = cut(nodes.withColumn("color", F.col("node")))
+    colors = cut(nodes.withColumn("color", F.col("node")), n)
     fresh = colors
     while True:
         # Only labels that fell in the last round can make others fall.
         sent = edges.join(fresh, edges["a"] == fresh["node"]).groupBy(F.col("b").alias("node")).agg(F.min("color").alias("new"))
-        joined = cut(colors.join(sent, "node", "left").select("node", F.least("color", "new").alias("color"), (F.col("new") < F.col("color")).alias("fell")))
+        joined = cut(colors.join(sent, "node", "left").select("node", F.least("color", "new").alias("color"), (F.col("new") < F.col("color")).alias("fell")), n)
         colors, fresh = joined.select("node", "color"), joined.where("fell").select("node", "color")
         if fresh.isEmpty():
             return colors
 
 
-def _leading_to_their_color(edges: DataFrame, roots: DataFrame) -> DataFrame:
+def _leading_to_their_color(edges: DataFrame, roots: DataFrame, n: int) -> DataFrame:
     """(node, color) of the nodes from which edges of their own color lead to the color's root."""
     fresh = reached = roots
     while True:
         back = edges.join(fresh.select(F.col("node").alias("b")), "b").select(F.col("a").alias("node"), "color").distinct()
-        fresh = cut(back.join(reached, "node", "left_anti"))
+        fresh = cut(back.join(reached, "node", "left_anti"), n)
         if fresh.isEmpty():
             return reached
-        reached = cut(reached.unionByName(fresh))
+        reached = cut(reached.unionByName(fresh), n)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -65,17 +65,17 @@ def components(edges: DataFrame) -> DataFrame:
     rest = edges.where("a <> b")
     found = edges.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("component"))
     while True:
-        rest = _trimmed(rest)
-        if rest.isEmpty():
+        rest, n = _trimmed(rest)  # nodes are no more than edges then
+        if not n:
             break
-        colors = _least_ancestors(rest)
+        colors = _least_ancestors(rest, n)
         ends = rest.join(colors.withColumnRenamed("node", "a"), "a").join(colors.select(F.col("node").alias("b"), F.col("color").alias("_other")), "b")
-        inside = cut(ends.where("color = _other").select("a", "b", "color"))
-        reached = _leading_to_their_color(inside, colors.where("node = color"))
+        inside = cut(ends.where("color = _other").select("a", "b", "color"), n)
+        reached = _leading_to_their_color(inside, colors.where("node = color"), n)
         cyclic = reached.join(reached.where("node <> color").select("color").distinct(), "color", "left_semi")
         found = found.unionByName(cyclic.select("node", F.col("color").alias("component")))
         done = reached.select("node")
-        rest = cut(inside.join(done.withColumnRenamed("node", "a"), "a", "left_anti").join(done.withColumnRenamed("node", "b"), "b", "left_anti").select("a", "b"))
+        rest = cut(inside.join(done.withColumnRenamed("node", "a"), "a", "left_anti").join(done.withColumnRenamed("node", "b"), "b", "left_anti").select("a", "b"), n)
     return cut(found.groupBy("node").agg(F.min("component").alias("component")))
 
 
@@ -87,25 +87,26 @@ def witnesses(edges: DataFrame, members: DataFrame) -> DataFrame:
     of = lambda end: members.select(F.col("node").alias(end), F.col("component").alias(f"_{end}"))
     inside = edges.select("a", "b").distinct().join(of("a"), "a").join(of("b"), "b").where("_a = _b").select(F.col("_a").alias("component"), "a", "b")
     inside = cut(inside)
+    n = inside.count()
     fresh = members.where("node = component").select("component", "node", F.col("node").alias("parent"), F.lit(0).alias("distance"))
-    seen = fresh = cut(fresh)
+    seen = fresh = cut(fresh, n)
     closed = None
     while True:
         # Which components' fronts have an edge back to the least node; those are done.
-        step = cut(inside.join(fresh.select("component", F.col("node").alias("a"), "distance"), ["component", "a"]))
+        step = cut(inside.join(fresh.select("component", F.col("node").alias("a"), "distance"), ["component", "a"]), n)
         ends = step.where("b = component").groupBy("component").agg(F.min("a").alias("node"), F.min("distance").alias("last"))
-        closed = cut(ends if closed is None else closed.unionByName(ends))
+        closed = cut(ends if closed is None else closed.unionByName(ends), n)
         onward = step.join(closed.select("component"), "component", "left_anti").groupBy("component", F.col("b").alias("node")).agg(F.min("a").alias("parent"), (F.min("distance") + 1).alias("distance"))
-        fresh = cut(onward.join(seen.select("component", "node"), ["component", "node"], "left_anti"))
+        fresh = cut(onward.join(seen.select("component", "node"), ["component", "node"], "left_anti"), n)
         if fresh.isEmpty():
             break
-        seen = cut(seen.unionByName(fresh))
+        seen = cut(seen.unionByName(fresh), n)
     # All ancestors of the closing nodes: jumps of 1, 2, 4, ... steps up the tree.
     longest = closed.agg(F.max("last")).first()[0] or 0
     seen = seen.join(closed.select("component"), "component", "left_semi")
     path, jump = closed.select("component", "node"), seen.select("component", "node", "parent")
     for _ in range(longest.bit_length()):
-        path = cut(path.unionByName(path.join(jump, ["component", "node"]).select("component", F.col("parent").alias("node"))).distinct())
+        path = cut(path.unionByName(path.join(jump, ["component", "node"]).select("component", F.col("parent").alias("node"))).distinct(), n)
         further = jump.select("component", F.col("node").alias("parent"), F.col("parent").alias("_up"))
-        jump = cut(jump.join(further, ["component", "parent"]).select("component", "node", F.col("_up").alias("parent")))
+        jump = cut(jump.join(further, ["component", "parent"]).select("component", "node", F.col("_up").alias("parent")), n)
     return path.join(seen, ["component", "node"]).select("component", F.col("distance").alias("position"), "node")
