@@ -6,6 +6,8 @@ before its shuffle, and lineage is cut after it. Edges have ``a`` and ``b`` (fro
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ from tallystone.functions.lineage import cut
 
 #: Rounds in which nodes without predecessors or successors are taken away first; what is left of them later costs rounds, not results.
 TRIMS = 4
+#: Rounds after which what was found in them is stored as one.
+CUT_ROUNDS = 8
 
 
 def _trimmed(edges: DataFrame, rounds: int = TRIMS) -> tuple[DataFrame, int]:
@@ -90,20 +94,21 @@ def witnesses(edges: DataFrame, members: DataFrame) -> DataFrame:
     n = inside.count()
     fresh = members.where("node = component").select("component", "node", F.col("node").alias("parent"), F.lit(0).alias("distance"))
     seen = fresh = cut(fresh, n)
-    closed = None
-    while True:
-        # Which components' fronts have an edge back to the least node; those are done.
-        step = cut(inside.join(fresh.select("component", F.col("node").alias("a"), "distance"), ["component", "a"]), n)
-        ends = step.where("b = component").groupBy("component").agg(F.min("a").alias("node"), F.min("distance").alias("last"))
-        closed = cut(ends if closed is None else closed.unionByName(ends), n)
-        onward = step.join(closed.select("component"), "component", "left_anti").groupBy("component", F.col("b").alias("node")).agg(F.min("a").alias("parent"), (F.min("distance") + 1).alias("distance"))
+    for distance in count(1):
+        ahead = inside.join(fresh.select("component", F.col("node").alias("a")), ["component", "a"])
+        onward = ahead.groupBy("component", F.col("b").alias("node")).agg(F.min("a").alias("parent"), F.lit(distance).alias("distance"))
         fresh = cut(onward.join(seen.select("component", "node"), ["component", "node"], "left_anti"), n)
         if fresh.isEmpty():
             break
-        seen = cut(seen.unionByName(fresh), n)
+        seen = seen.unionByName(fresh)
+        if distance % CUT_ROUNDS == 0:
+            seen = cut(seen, n)
+    seen = cut(seen, n)
+    # The nearest node with an edge back to the least one closes the cycle.
+    back = inside.where("b = component").select("component", F.col("a").alias("node")).join(seen, ["component", "node"])
+    closed = cut(back.groupBy("component").agg(F.min(F.struct("distance", "node")).alias("_e")).select("component", "_e.node", F.col("_e.distance").alias("last")), n)
     # All ancestors of the closing nodes: jumps of 1, 2, 4, ... steps up the tree.
     longest = closed.agg(F.max("last")).first()[0] or 0
-    seen = seen.join(closed.select("component"), "component", "left_semi")
     path, jump = closed.select("component", "node"), seen.select("component", "node", "parent")
     for _ in range(longest.bit_length()):
         path = cut(path.unionByName(path.join(jump, ["component", "node"]).select("component", F.col("parent").alias("node"))).distinct(), n)
