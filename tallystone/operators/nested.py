@@ -24,11 +24,9 @@ def kind_of(value: Column) -> Column:
     return F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
 
 
-def _balanced(text: Column) -> Column:
-    """The first object or list of a text, from its opening bracket to the one that closes it outside of strings; null if none closes."""
-    at = F.regexp_instr(text, F.lit(r"[\[{]"))
-    rest = F.substring(text, at, F.length(text))
-    tokens = F.regexp_extract_all(rest, F.lit(r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|[\[{]|[\]}]|[^"\[\]{}]++|"'), F.lit(0))
+def _first_closed(text: Column, finish) -> Column:
+    """``finish`` of what folding over the brackets of a text from its beginning gives: done, and the length up to the bracket that closes the first."""
+    tokens = F.regexp_extract_all(text, F.lit(r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|[\[{]|[\]}]|[^"\[\]{}]++|"'), F.lit(0))
     start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("length"), F.lit(False).alias("done"))
     opens, closes = (lambda t: t.isin("{", "[")), (lambda t: t.isin("}", "]"))
 
@@ -36,15 +34,22 @@ def _balanced(text: Column) -> Column:
         depth = acc["depth"] + opens(t).cast("int") - closes(t).cast("int")
         return F.when(acc["done"], acc).otherwise(F.struct(depth.alias("depth"), (acc["length"] + F.length(t)).alias("length"), (closes(t) & (depth == 0)).alias("done")))
 
-    end = F.aggregate(tokens, start, step)
-    return F.when((at > 0) & end["done"], F.substring(rest, F.lit(1), end["length"]))
+    return F.aggregate(tokens, start, step, finish)
+
+
+def _balanced(text: Column) -> Column:
+    """The first object or list of a text, from its opening bracket to the one that closes it outside of strings; null if none closes."""
+    at = F.regexp_instr(text, F.lit(r"[\[{]"))
+    rest = F.substring(text, at, F.length(text))
+    return F.when(at > 0, F.substring(rest, F.lit(1), _first_closed(rest, lambda end: F.when(end["done"], end["length"]))))
 
 
 def parsed(text: Column) -> Column:
     """The VARIANT of a text that is JSON from end to end, else null (the parser by itself passes over what follows a value)."""
     core = F.regexp_replace(text, r"^\s+|\s+$", "")
     scalar = core.rlike(r'^(?:"[^"\\]*+(?:\\.[^"\\]*+)*+"|true|false|null|-?[0-9][0-9.eE+-]*)$')
-    return F.when(F.when(core.rlike(r"^[\[{]"), _balanced(core).eqNullSafe(core)).otherwise(scalar), F.try_parse_json(core))
+    closed = _first_closed(core, lambda end: end["done"] & (end["length"] == F.length(core)))
+    return F.when(F.when(core.rlike(r"^[\[{]"), closed).otherwise(scalar), F.try_parse_json(core))
 
 
 def leaves(rows: DataFrame, key: str, text: str, drop: Sequence[str] = ()) -> DataFrame:
@@ -52,7 +57,8 @@ def leaves(rows: DataFrame, key: str, text: str, drop: Sequence[str] = ()) -> Da
 
     A null text, or one that is no JSON, has no rows.
     """
-    front = rows.select(F.col(key).alias("_id"), F.lit("$").alias("path"), parsed(F.col(text)).alias("v")).where("v IS NOT NULL")
+    # Stored, so that a text is parsed once.
+    front = cut(rows.select(F.col(key).alias("_id"), F.lit("$").alias("path"), parsed(F.col(text)).alias("v"))).where("v IS NOT NULL")
     out, top = None, True
     while True:
         empty = F.to_json("v").isin("{}", "[]")
